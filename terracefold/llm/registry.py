@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, quality_rules
+from . import bpe, minhash, quality_rules
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op7_host_rules": quality_rules.op7_host_rules,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES = {
