@@ -29,10 +29,12 @@ from .shingles import DEPTH, TREES, minhashes, shingle_sets
 
 #: Similarity in percent; estimates from which a pair is confirmed, or counts as adjacent; neighbours on each side.
 SIMILARITY = 75
-CONFIRM, ADJACENT = 0.57, 0.35
+CONFIRM, ADJACENT = 0.57, 0.4
 NEIGHBOURS = 4
 #: Hubs of a component: the best-linked node of each hash share of its nodes.
-HUBS = 8
+HUBS, FIRST_HUBS = 16, 4
+#: Rounds that try few pairs of each node before all are tried.
+NARROW_ROUNDS = 2
 _WIDTH = 4 * DEPTH
 
 
@@ -185,39 +187,54 @@ def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nod
     best = _both_ways(strong, "est").groupBy("x").agg(F.max(F.struct("est", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     tried = cut(_ordered(best), "first-pairs")
     links = cut(confirm(tried, texts), "links")
+    turn = 0
     while True:
+        wide = turn >= NARROW_ROUNDS
         comp = cut(components(links), "components")
-        degree = _both_ways(links).groupBy(F.col("x").alias("node")).agg(F.count("*").alias("degree"))
-        share = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-        hubs = comp.join(degree, "node").groupBy("component", share.alias("share")).agg(F.max(F.struct("degree", -F.col("node"))).alias("m"))
-        hubs = hubs.select(F.col("component").alias("y_comp"), (-F.col("m").getField("col2")).alias("hub"))
-        of = comp.select(F.col("node"), F.col("component"))
-        sides = (
-            _both_ways(near, "est")
-            .join(of.select(F.col("node").alias("x"), F.col("component").alias("x_comp")), "x", "left")
-            .join(of.select(F.col("node").alias("y"), F.col("component").alias("y_comp")), "y", "left")
-            .withColumn("x_comp", F.coalesce("x_comp", "x"))
-            .withColumn("y_comp", F.coalesce("y_comp", "y"))
-            .filter("x_comp <> y_comp")
-        )
-        direct = sides.filter(F.col("est") >= CONFIRM).select("x", "y")
-        to_hub = sides.select("x", "y_comp").distinct().join(hubs, "y_comp").select("x", F.col("hub").alias("y"))
-        sketches = nodes.select("node", "sketch")
-        todo = (
-            _ordered(to_hub)
-            .join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-            .select("a", "b", "sa", "sb")
-            .mapInArrow(_promising, "a long, b long")
-        )
-        todo = cut(_ordered(direct).union(todo).distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        todo = cut(_next_pairs(near, nodes, links, comp, wide).join(tried, ["a", "b"], "left_anti"), "more-pairs")
         more = cut(confirm(todo, texts), "more-links")
-        if more.isEmpty():
+        if wide and more.isEmpty():
             return comp
+        turn += 1
         tried = tried.union(todo)
         links = links.union(more)
 
 
+def _next_pairs(near: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataFrame, wide: bool) -> DataFrame:
+    """(a, b): pairs that could join two components.
+
+    For each node its best neighbour outside its component, and some hubs of that one's component; when wide, all its
+    neighbours outside and all hubs of their components. Most components have met by the time of the first wide round.
+    """
+    degree = _both_ways(links).groupBy(F.col("x").alias("node")).agg(F.count("*").alias("degree"))
+    share = F.pmod(F.xxhash64("node"), F.lit(HUBS))
+    hubs = comp.join(degree, "node").groupBy("component", share.alias("share")).agg(F.max(F.struct("degree", -F.col("node"))).alias("m"))
+    hubs = hubs.filter(F.lit(wide) | (F.col("share") < FIRST_HUBS))
+    hubs = hubs.select(F.col("component").alias("y_comp"), (-F.col("m").getField("col2")).alias("hub"))
+    sides = (
+        _both_ways(near, "est")
+        .join(comp.select(F.col("node").alias("x"), F.col("component").alias("x_comp")), "x", "left")
+        .join(comp.select(F.col("node").alias("y"), F.col("component").alias("y_comp")), "y", "left")
+        .withColumn("x_comp", F.coalesce("x_comp", "x"))
+        .withColumn("y_comp", F.coalesce("y_comp", "y"))
+        .filter("x_comp <> y_comp")
+        .select("x", "y", "y_comp", "est")
+    )
+    if not wide:
+        sides = sides.groupBy("x").agg(F.max(F.struct("est", "y", "y_comp")).alias("m")).select("x", "m.y", "m.y_comp", "m.est")
+    direct = sides.filter(F.col("est") >= CONFIRM).select("x", "y")
+    to_hub = sides.select("x", "y_comp").distinct().join(hubs, "y_comp").select("x", F.col("hub").alias("y"))
+    sketches = nodes.select("node", "sketch")
+    promising = (
+        _ordered(to_hub)
+        .join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        .select("a", "b", "sa", "sb")
+        .mapInArrow(_promising, "a long, b long")
+    )
+    return _ordered(direct).union(promising).distinct()
+
+
 def _promising(batches):
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for k in (2, 3))
