@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, minhash, quality_rules
+from . import bpe, decontaminate, line_dedup, minhash, quality_rules
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_host_rules": quality_rules.op7_host_rules,
     "op9_bpe": bpe.op9_bpe,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.SQL,
     "op7_host_rules": quality_rules.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
