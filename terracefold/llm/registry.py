@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, minhash, quality_rules
+from . import bpe, chat, decontaminate, line_dedup, minhash, quality_rules, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_chat_format": chat.op5_chat_format,
     "op7_host_rules": quality_rules.op7_host_rules,
+    "op8_warc": warc.op8_warc,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
