@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, quality_rank, quality_rules, warc
+from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality_rank, quality_rules, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op2_html_text": html_text.op2_html_text,
+    "op3_pii_feistel": pii.op3_pii_feistel,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_quality_rank": quality_rank.op6_quality_rank,
