@@ -17,10 +17,10 @@ result. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, cut, fresh, n_words, table, words
+from .common import WS_CHARS, cut, fresh, let, n_words, table, words
 
 MIN_WORDS = 50
 _LAST = 2**63 - 1
@@ -112,9 +112,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
     g, n = fresh(docs, "_gone"), fresh(docs, "_removed")
     gone = gone.select(F.col("did").alias(did + "2"), F.col("th").alias(th + "2"), F.col("gone").alias(g))
     joined = left.join(gone, (F.col(did) == F.col(did + "2")) & (F.col(th) == F.col(th + "2")), "left")
-    parts = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g))
-    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+
+    def rest(parts: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g))
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
     out = joined.withColumn("text", text).withColumn(n, F.when(F.col(g).isNull(), F.lit(0)).otherwise(F.size(g)).cast("long"))
     return out.select(*docs.columns, n), n
 

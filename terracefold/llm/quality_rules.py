@@ -67,18 +67,18 @@ def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[st
     lines = F.split(body, "\n")
     names = {c: fresh(docs, f"_{c}") for c in COUNTS}
     n = n_words(F.col(w))
-    out = out.withColumns(
-        {
-            names["n_words"]: n,
-            names["word_chars"]: F.length(F.array_join(F.col(w), "")).cast("long"),
-            names["n_symbols"]: (F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]+", ""))).cast("long"),
-            names["n_dup_lines"]: let(
-                F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != ""), lambda x: F.size(x) - F.size(F.array_distinct(x))
-            ).cast("long"),
-            names["n_repeat_words"]: repeat_words(F.col(w), n),
-        }
-    )
-    return out.drop(w), names
+    made = {
+        "n_words": n,
+        "word_chars": F.length(F.array_join(F.col(w), "")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(F.regexp_replace(body, "[#*$%&|<>]+", ""))).cast("long"),
+        "n_dup_lines": let(
+            F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != ""), lambda x: F.size(x) - F.size(F.array_distinct(x))
+        ).cast("long"),
+        "n_repeat_words": repeat_words(F.col(w), n),
+    }
+    # Through a one-row generator: filters on the counts then stay above it and are not evaluated with the word array inlined.
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*[made[c].alias(names[c]) for c in COUNTS]))))
+    return out, names
 
 
 def base_failed(names: dict[str, str]) -> Column:
