@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import evolution, graph
+
 FLAGSHIP = "coupling_type"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES}
+ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES}
