@@ -267,7 +267,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text") ->
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id; columns as they were.
 
-    Rows that repeat both doc_id and text come out once.
+    Rows that repeat both doc_id and text all stay or all go.
     """
     d, h = fresh(docs, "_id"), fresh(docs, "_hash")
     gone = near_duplicates(spark, docs).filter("NOT kept").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()

@@ -229,7 +229,7 @@ def replace(text: str, f: Feistel) -> tuple[str, int]:
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> tuple[DataFrame, str]:
     """docs with pseudonyms in its text column, and the name of an added column that counts them."""
     n = fresh(docs, "_replaced")
-    place = docs.columns.index(text)
+    place, names = docs.columns.index(text), [*docs.columns, n]
 
     def run(batches):
         f = Feistel(key)
@@ -237,7 +237,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text")
             done = [(None, 0) if t.as_py() is None else replace(t.as_py(), f) for t in batch.column(place)]
             columns = list(batch.columns)
             columns[place] = pa.array([d[0] for d in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64())], [*docs.columns, n])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64())], names)
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + f", `{n}` long"
     return docs.mapInArrow(run, schema), n

@@ -1,0 +1,211 @@
+import datetime
+import hashlib
+import random
+import re
+
+import pytest
+from oracle import expected, rows as table_rows
+
+from terracefold.llm import bpe, chat, decontaminate, html_text, pii, warc
+
+
+# Main text
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body>
+<nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy this now</div>
+<article><h1>Head &amp; tail</h1><p>One  two\n three <b>four</b>.<br><p>Five &lt;six&gt; seven.<aside>Not this</aside>
+<form>name <input></form><section id="comments"><p>I read it</p></section></article>
+<aside>Other news</aside><footer>&copy; us</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == "Head & tail\nOne two three four.\nFive <six> seven."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>a b</nav>") == ""
+    body = "Long enough words here to be the content of a page without any marks at all. " * 3
+    plain = f"<html><body><div class='menu'><a>x</a> <a>y</a></div><div><p>{body}</p><p>More &amp; more words that belong.</p></div><div class='sidebar'>z z z</div></body></html>"
+    assert html_text.main_text(plain) == " ".join(body.split()) + "\nMore & more words that belong."
+    assert html_text.main_text(PAGE[: PAGE.index("seven")] + "x &am") == "Head & tail\nOne two three four.\nFive <six> x &am"
+
+
+def test_best_region():
+    r = random.Random(1)
+    for _ in range(200):
+        s = [r.uniform(-2, 2) for _ in range(r.randint(0, 12))]
+        a, b = html_text.best_region(s)
+        best = max([0.0] + [sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)])
+        assert abs(sum(s[a:b]) - best) < 1e-9
+
+
+def test_extract_frames(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, None, None, None)], "page_id long, url string, html string, text int")
+    got = html_text.extract(pages).collect()
+    assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# Pseudonyms
+
+
+@pytest.fixture(scope="module")
+def feistel():
+    return pii.Feistel(b"key")
+
+
+def test_permutations(feistel):
+    for radix, length in ((10, 1), (10, 3), (7, 4), (2, 9)):
+        assert len({feistel.digits("x", radix, v, length) for v in range(radix**length)}) == radix**length
+    assert sorted(feistel.below("d", v, 777) for v in range(777)) == list(range(777))
+
+
+def test_formats(feistel):
+    text = "a.b@mail.example.com 4111 1111 1111 1111 +1 (017) 555-7713 1.2.3.4 1999-12-31 31/12/1999 token = \"0a1b2c3d4e5f60718293a4b5c6d7e8f901234567\" GPL 3.0 in 2007"
+    got, n = pii.replace(text, feistel)
+    assert n == 7 and got.endswith("GPL 3.0 in 2007")
+    assert re.sub(r"\w", "x", got) == re.sub(r"\w", "x", text.replace("1.2.3.4", re.search(r"\d+\.\d+\.\d+\.\d+", got)[0]))
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", got)[0]
+    assert pii.luhn(card.replace(" ", "")) and card not in text
+    datetime.date.fromisoformat(re.search(r"\d{4}-\d\d-\d\d", got)[0])
+    assert pii.replace("x 4111 1111 1111 1111 y", feistel)[0] == f"x {card} y"
+    assert pii.replace("", feistel) == ("", 0) and pii.replace("2021-02-30", feistel)[1] == 0
+    assert pii.replace("+1 (826) 555-4081 190.137.223.204", feistel)[1] == 2
+
+
+def test_nothing_private_stays(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pattern = re.compile(r"[\w.]+@[\w.]+\w|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b(?:\d{1,3}\.){3}\d{1,3}\b|[0-9a-fA-F]{40}")
+    out, n = pii.pseudonymise(d)
+    assert out.columns == [*d.columns, n]
+    after = {r.doc_id: r.text for r in out.collect()}
+    hits = 0
+    for r in d.collect():
+        for m in pattern.findall(r.text):
+            hits += 1
+            assert m not in after[r.doc_id]
+        if not pattern.search(r.text) and not re.search(r"\d", r.text):
+            assert after[r.doc_id] == r.text
+    assert hits > 20
+
+
+def test_pseudonyms_of_odd_rows(odd, none):
+    out, n = pii.pseudonymise(odd)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, ((r.doc_id, r.text) for r in odd.collect())))
+    assert pii.pseudonymise(none)[0].count() == 0
+
+
+# Chat
+
+
+def test_control_strings_round_trip():
+    r = random.Random(2)
+    bits = [*chat.CONTROLS, "<|", "|>", "\\", "\n", "a", "[", "/INST]", "s>"]
+    for _ in range(2000):
+        turns = [("".join(r.choices(bits, k=r.randint(0, 4))), "".join(r.choices(bits, k=r.randint(0, 8)))) for _ in range(r.randint(0, 3))]
+        text = chat.render(turns)
+        assert [t[:2] for t in chat.read(text)] == turns
+        assert text.count(chat.OPEN) == text.count(chat.CLOSE) == len(turns)
+
+
+def test_fold():
+    log = [("delta", "1", "assistant", "he"), ("delta", "1", None, "llo"), ("message", "2", "user", "x"), ("edit", "1", None, "bye"), ("delta", "3", "assistant", "a"), ("regenerate", "3", None, None), ("delta", "3", "assistant", "b"), ("other", "3", "x", "y"), ("edit", "9", "x", "y")]
+    assert chat.fold(log) == [("assistant", "bye"), ("assistant", "b")]
+    assert chat.fold([]) == [] and chat.fold([(None, None, None, None)] * 2) == [("", "")] * 2
+
+
+def test_chat_query(spark):
+    d = "/root/testdata/sf0.01"
+    talks = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
+    for r in spark.read.parquet(f"{d}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        talks.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.conv_id: r for r in chat.op5_chat_format(spark, d).collect()}
+    assert got.keys() == talks.keys()
+    for c, turns in talks.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+
+
+def test_chat_odd_rows(spark):
+    rows = [(None, 1, None, None), (None, 1, None, None), (2, None, "user", ""), (2, 1, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.n_turns for r in chat.digests(chat.format_log(chat.turns_as_log(df))).collect()}
+    assert got == {None: 2, 2: 2}
+    assert chat.digests(chat.format_log(chat.turns_as_log(df.limit(0)))).count() == 0
+
+
+# Archives
+
+
+def test_archives_round_trip(spark, tmp_path):
+    big = "héé" * 30_000
+    rows = [(1, "u", big), (2, None, None), (3, "http://a\r\nX: y", ""), (4, "u", "WARC/1.1\r\n\r\n0\r\n\r\n"), (5, "v", big), (None, "n", "q"), (4, "u", "WARC/1.1\r\n\r\n0\r\n\r\n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("url", "url")
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages, path)
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload).decode(), r.payload_bytes) for r in warc.read_archives(spark, path, True).collect()), key=str)
+    want = [(0, "response", None, "q", 1), (1, "revisit", 5, None, 150_000), (2, "revisit", 3, None, 0), (3, "response", None, "", 0), (4, "response", None, rows[3][2], 22 - 2), (4, "response", None, rows[3][2], 20), (5, "response", None, big, 150_000)]
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want, key=str)]
+
+
+def test_broken_framing():
+    assert warc.unchunk(b"3\r\nabc\r\n0\r\n\r\n") == b"abc"
+    with pytest.raises(ValueError):
+        warc.unchunk(b"3\r\nabcd\r\n0\r\n\r\n")
+    with pytest.raises(ValueError):
+        list(warc._walk(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabc\r\n\r\n"))
+
+
+def test_empty_archives(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/none")
+    assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+
+
+# Tokens
+
+
+def test_bpe_as_tiktoken(spark):
+    import tiktoken
+
+    path, pattern = bpe.public_vocabulary()
+    coder = bpe.Coder.of(path, pattern)
+    public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    texts = ["", "  a  b ", "x\n\ny  z\t q", "a" * 3000, "ab" * 700 + " c", "<|endoftext|> it's we'll I'd", "日本語 テキスト　の 😀", "trail ", "a\x1cb \x85c", "\0 nul\0", "1234567 89,5", "\r\n\r\n x", " "]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    packed = coder.encode(texts)
+    assert [[int.from_bytes(p[k : k + 4], "little") for k in range(0, len(p), 4)] for p in packed] == [public.encode_ordinary(t) for t in texts]
+    assert coder.decode(packed) == [t.encode() for t in texts]
+
+
+def test_bpe_odd_rows(spark, odd, none):
+    got = bpe.tokenize(odd, *bpe.public_vocabulary(), ids=True).collect()
+    assert len(got) == 11 and all(len(r.ids) == 4 * r.n_tokens for r in got)
+    assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in odd.collect())
+    assert bpe.tokenize(none, *bpe.public_vocabulary()).count() == 0
+
+
+# Decontamination
+
+
+def test_templates(spark):
+    asked = "A train leaves Boston at 12 km from Alice and meets Bob after 30 minutes, then Alice pays 12 dollars to the man who was there before."
+    again = "Well now. A train leaves Boston at 77 km from Carol and meets Dave after 45 minutes, then Carol pays 77 dollars to the man who was there before. So."
+    other = again.replace("then Carol pays 77", "then Erin pays 99")
+    docs = spark.createDataFrame([(1, "x " + asked), (2, again), (3, other), (4, None), (None, asked), (6, "man who was there x")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, asked), (8, "man who was there"), (9, None), (10, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, 7), (2, 7), (None, 7), (1, 8), (2, 8), (3, 8), (None, 8), (6, 8)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {4}
+
+
+def test_decontamination_oracle(spark):
+    d = "/root/testdata/sf0.001"
+    got = table_rows(decontaminate.op10_decontaminate(spark, d).toPandas())
+    assert got == table_rows(expected(decontaminate.SQL, d)) and got[1]
+
+
+def test_decontamination_odd_rows(spark, odd, none):
+    items = spark.createDataFrame([(1, "over the lazy dog again and again today")], "item_id long, text string")
+    left = decontaminate.drop_leaks(odd, items)
+    assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {3, 4, 5, 6, 7, 8, 9}
+    assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
