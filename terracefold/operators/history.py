@@ -116,7 +116,7 @@ def path_join(model_paths: DataFrame, history_paths: DataFrame) -> DataFrame:
     pairs = one.union(two).distinct()
     m = pairs.groupBy("model_path").agg(F.count("*").alias("nm")).filter("nm = 1").select("model_path")
     h = pairs.groupBy("history_path").agg(F.count("*").alias("nh")).filter("nh = 1").select("history_path")
-    return pairs.join(m, "model_path", "left_semi").join(h, "history_path", "left_semi")
+    return pairs.join(m, "model_path", "left_semi").join(h, "history_path", "left_semi").select("model_path", "history_path")
 
 
 def hidden_coupling(coupled: DataFrame, reach: DataFrame) -> DataFrame:
