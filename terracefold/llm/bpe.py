@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ from .common import table
 
 LONG = 512
 BLOCK_CHARS = 2_000_000
-CACHED = 400_000
+#: Bounds of the caches of one worker.
+WORDS, PIECES = 1_200_000, 1_200_000
+#: Texts in which white space stands beside a space or at an end are split by the pattern as a whole.
+_UNCUT = re.compile(r"\A\s|\s\Z|\s | \s")
 
 _CONTRACT = """
 WITH RECURSIVE t(round, word, pos, id) AS (
@@ -49,7 +53,7 @@ WITH RECURSIVE t(round, word, pos, id) AS (
 SELECT word, id FROM t SEMI JOIN ends USING (word, round) ORDER BY word, pos
 """
 
-_DECODE = "SELECT doc, string_agg(v.bytes, '' ORDER BY pos) AS text FROM ids JOIN vocabulary v USING (id) GROUP BY doc"
+_DECODE = "SELECT doc, string_agg(bytes, '') AS text FROM (SELECT doc, v.bytes FROM ids JOIN vocabulary v USING (id) ORDER BY pos) GROUP BY doc"
 
 
 class Coder:
@@ -146,36 +150,27 @@ class Coder:
                 self.words[new[k]] = flat[begin:end]
                 begin = end
 
-    def whole(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         first, rest = self.pieces
-        if len(first) + len(rest) > CACHED or len(self.words) > CACHED:
+        if len(first) + len(rest) > PIECES:
             first.clear()
             rest.clear()
+        if len(self.words) > WORDS:
             self.words.clear()
-        split = [t.split(" ") for t in texts]
-        wanted: list[set] = [set(), set()]
+        alone = {k: self.pattern.findall(t) for k, t in enumerate(texts) if _UNCUT.search(t)}
+        split = [() if k in alone else t.split(" ") for k, t in enumerate(texts)]
+        begin, inner = {p[0] for p in split if p}, set()
         for p in split:
-            wanted[0].add(p[0])
-            wanted[1].update(p[1:])
-        todo, uncut = [], set()
-        for cache, space, want in ((first, "", wanted[0]), (rest, " ", wanted[1])):
-            for p in want:
-                if p in cache:
-                    continue
-                if p and not p[0].isspace() and not p[-1].isspace():
-                    todo.append((cache, p, self.whole(space + p)))
-                else:
-                    uncut.add(p)
-        alone = {k: self.whole(texts[k]) for k, p in enumerate(split) if uncut and not uncut.isdisjoint(p)}
-        words = {w for _, _, ws in todo for w in ws}.union(*alone.values()) if alone else {w for _, _, ws in todo for w in ws}
+            inner.update(p[1:])
+        todo = [(first, p, self.pattern.findall(p)) for p in begin if p not in first]
+        todo += [(rest, p, self.pattern.findall(" " + p)) for p in inner if p not in rest]
+        words = {w for _, _, ws in todo for w in ws}
+        words.update(*alone.values())
         self.learn([w for w in words if w not in self.words])
         known = self.words.__getitem__
         for cache, p, ws in todo:
-            cache[p] = b"".join(map(known, ws))
+            cache[p] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
         out = []
         for k, p in enumerate(split):
             if k in alone:
