@@ -3,7 +3,7 @@
 1. Every whole text gives its set of word shingles, a 128-bit key of that set and TREES * DEPTH minhashes.
 2. Equal sets become one node (copies are never expanded into pairs).
 3. Each tree sorts all nodes by its own DEPTH minhashes (a range-partitioned sort, so a crowded region is dealt over
-   tasks); the next NEIGHBOURS nodes that share a prefix are candidates. In sparse regions one common component is
+   tasks); of the next NEIGHBOURS nodes on each side that share a prefix the likest one is a candidate. In sparse regions one common component is
    enough, in crowded ones neighbours agree on many: the depth adapts to the region.
 4. A candidate's similarity is estimated from all minhashes; promising ones are confirmed on full sets, first each
    node's best, then those that would join two components.
@@ -30,7 +30,7 @@ from .shingles import DEPTH, TREES, minhashes, shingle_sets
 #: Similarity in percent; estimates from which a pair is confirmed, or counts as adjacent; neighbours on each side.
 SIMILARITY = 75
 CONFIRM, ADJACENT = 0.57, 0.4
-NEIGHBOURS = 4
+NEIGHBOURS = 12
 #: Hubs of a component: the best-linked node of each hash share of its nodes.
 HUBS, FIRST_HUBS = 16, 4
 #: Rounds that try few pairs of each node before all are tried.
@@ -93,16 +93,23 @@ def _neighbours(batches):
         if held is not None:
             tree, node, head, sketch = (np.concatenate(x) for x in zip(held, (tree, node, head, sketch)))
         fresh_from = 0 if held is None else len(held[0])
-        out = []
-        for o in range(1, NEIGHBOURS + 1):
-            if len(tree) <= o:
-                break
-            i = np.arange(max(0, fresh_from - o), len(tree) - o)
+        # est[o - 1, i]: likeness of rows i and i + o where they share a prefix; a row takes its best one on either side.
+        n, out = len(tree), []
+        est = np.full((NEIGHBOURS, n), -1, np.float32)
+        for o in range(1, min(NEIGHBOURS, n - 1) + 1):
+            i = np.arange(max(0, fresh_from - o), n - o)
             i = i[(tree[i] == tree[i + o]) & (head[i] == head[i + o]) & (node[i] != node[i + o])]
             if len(i):
-                est = (sketch[i] == sketch[i + o]).mean(axis=1, dtype=np.float32)
-                k = est >= ADJACENT
-                out.append((np.minimum(node[i], node[i + o])[k], np.maximum(node[i], node[i + o])[k], est[k]))
+                est[o - 1, i] = (sketch[i] == sketch[i + o]).mean(axis=1, dtype=np.float32)
+        ahead = est.max(axis=0)
+        behind = np.full(n, -1, np.float32)
+        for o in range(1, min(NEIGHBOURS, n - 1) + 1):
+            np.maximum(behind[o:], est[o - 1, : n - o], out=behind[o:])
+        for o in range(1, min(NEIGHBOURS, n - 1) + 1):
+            e = est[o - 1, : n - o]
+            i = np.flatnonzero((e >= ADJACENT) & ((e == ahead[: n - o]) | (e == behind[o:])))
+            if len(i):
+                out.append((np.minimum(node[i], node[i + o]), np.maximum(node[i], node[i + o]), e[i]))
         if out:
             a, b, e = (np.concatenate(x) for x in zip(*out))
             n = len(a)
@@ -187,15 +194,17 @@ def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nod
     best = _both_ways(strong, "est").groupBy("x").agg(F.max(F.struct("est", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     tried = cut(_ordered(best), "first-pairs")
     links = cut(confirm(tried, texts), "links")
-    turn = 0
+    turn, joined = 0, links
     while True:
         wide = turn >= NARROW_ROUNDS
-        comp = cut(components(links), "components")
+        comp = cut(components(joined), "components")
         todo = cut(_next_pairs(near, nodes, links, comp, wide).join(tried, ["a", "b"], "left_anti"), "more-pairs")
         more = cut(confirm(todo, texts), "more-links")
         if wide and more.isEmpty():
             return comp
         turn += 1
+        # What is joined already comes in as stars, so the next components take few rounds.
+        joined = comp.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         tried = tried.union(todo)
         links = links.union(more)
 
@@ -211,15 +220,15 @@ def _next_pairs(near: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataF
     hubs = comp.join(degree, "node").groupBy("component", share.alias("share")).agg(F.max(F.struct("degree", -F.col("node"))).alias("m"))
     hubs = hubs.filter(F.lit(wide) | (F.col("share") < FIRST_HUBS))
     hubs = hubs.select(F.col("component").alias("y_comp"), (-F.col("m").getField("col2")).alias("hub"))
-    sides = (
-        _both_ways(near, "est")
-        .join(comp.select(F.col("node").alias("x"), F.col("component").alias("x_comp")), "x", "left")
-        .join(comp.select(F.col("node").alias("y"), F.col("component").alias("y_comp")), "y", "left")
-        .withColumn("x_comp", F.coalesce("x_comp", "x"))
-        .withColumn("y_comp", F.coalesce("y_comp", "y"))
-        .filter("x_comp <> y_comp")
-        .select("x", "y", "y_comp", "est")
+    crossing = (
+        near.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .withColumn("ca", F.coalesce("ca", "a"))
+        .withColumn("cb", F.coalesce("cb", "b"))
+        .filter("ca <> cb")
     )
+    side = lambda x, y, c: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(c).alias("y_comp"), "est")
+    sides = crossing.select(F.explode(F.array(side("a", "b", "cb"), side("b", "a", "ca"))).alias("s")).select("s.*")
     if not wide:
         sides = sides.groupBy("x").agg(F.max(F.struct("est", "y", "y_comp")).alias("m")).select("x", "m.y", "m.y_comp", "m.est")
     direct = sides.filter(F.col("est") >= CONFIRM).select("x", "y")
