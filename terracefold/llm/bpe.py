@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import re
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ LONG = 512
 BLOCK_CHARS = 2_000_000
 #: Bounds of the caches of one worker.
 WORDS, PIECES = 1_200_000, 1_200_000
+IDLE_SECONDS = 4.0
 #: Texts in which white space stands beside a space or at an end are split by the pattern as a whole.
 _UNCUT = re.compile(r"\A\s|\s\Z|\s | \s")
 
@@ -83,6 +85,8 @@ class Coder:
             "vocabulary",
             {"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())},
         )
+        self.timer: threading.Timer | None = None
+        self.lock, self.active = threading.Lock(), False
         self.words: dict[str, bytes] = {}
         self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
@@ -92,6 +96,27 @@ class Coder:
             cls._open[path] = cls(path, pattern)
         return cls._open[path]
 
+    def busy(self) -> None:
+        """A task begins: the caches stay."""
+        with self.lock:
+            self.active = True
+        if self.timer:
+            self.timer.cancel()
+            self.timer = None
+
+    def idle(self) -> None:
+        """A task ended: without another one soon, the worker gives up its caches' memory."""
+        self.busy()
+        self.active = False
+        self.timer = threading.Timer(IDLE_SECONDS, self.forget)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def forget(self) -> None:
+        with self.lock:
+            if not self.active:
+                self.words, self.pieces = {}, ({}, {})
+
     def load(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
@@ -213,19 +238,23 @@ def tokenize(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
     def run(batches):
         coder = Coder.of(path, pattern)
-        for batch in batches:
-            for at, texts in _blocks(batch.column(1)):
-                packed = coder.encode(texts)
-                back = coder.decode(packed)
-                columns = [
-                    batch.column(0).slice(at, len(texts)),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
-                ]
-                if ids:
-                    columns.append(pa.array(packed, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        coder.busy()
+        try:
+            for batch in batches:
+                for at, texts in _blocks(batch.column(1)):
+                    packed = coder.encode(texts)
+                    back = coder.decode(packed)
+                    columns = [
+                        batch.column(0).slice(at, len(texts)),
+                        pa.array([len(p) // 4 for p in packed], pa.int64()),
+                        pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                        pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
+                    ]
+                    if ids:
+                        columns.append(pa.array(packed, pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        finally:
+            coder.idle()
 
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else "")
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
