@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import cut, shared_path, table
 
 SEGMENT, CHUNK = 32_000, 4_000
 RECORDS_PER_FILE = 2_000
@@ -43,13 +43,17 @@ def base32_sha1(payload: Column) -> Column:
 def _pieces(text: Column, size: int) -> Column:
     """A text cut into pieces of size characters; one empty piece for an empty text."""
     n = F.greatest(F.ceil(F.length(text) / size), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(text, k * size + 1, F.lit(size)))
+    many = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(text, k * size + 1, F.lit(size)))
+    return F.when(F.octet_length(text) <= size, F.array(text)).otherwise(many)  # bytes are no fewer than characters
 
 
 def _chunked(body: Column) -> Column:
-    chunks = F.filter(_pieces(body, CHUNK), lambda c: c != "")
-    framed = F.transform(chunks, lambda c: F.concat(F.lower(F.hex(F.octet_length(c).cast("long"))), F.lit("\r\n"), c, F.lit("\r\n")))
-    return F.concat(F.array_join(framed, ""), F.lit("0\r\n\r\n"))
+    def frame(c: Column) -> Column:
+        return F.concat(F.lower(F.hex(F.octet_length(c).cast("long"))), F.lit("\r\n"), c, F.lit("\r\n"))
+
+    chunks = F.array_join(F.transform(F.filter(_pieces(body, CHUNK), lambda c: c != ""), frame), "")
+    framed = F.when(body == "", F.lit("")).when(F.octet_length(body) <= CHUNK, frame(body)).otherwise(chunks)
+    return F.concat(framed, F.lit("0\r\n\r\n"))
 
 
 def _id(name: Column) -> Column:
@@ -84,9 +88,9 @@ def records(pages: DataFrame) -> DataFrame:
             F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
             F.coalesce(F.concat(F.lit("\r\nX-Page: "), F.col("page_id").cast("string")), F.lit("")),
         ).alias("common"),
-        F.octet_length(block).alias("total"),
-        _pieces(block, SEGMENT).alias("segments"),
+        block.alias("block"),
     )
+    src = src.select("kind", "id", "refers", "common", F.octet_length("block").alias("total"), _pieces(F.col("block"), SEGMENT).alias("segments"))
     src = src.select("*", F.size("segments").alias("n"), F.posexplode("segments").alias("k", "part")).drop("segments")
     first, many = F.col("k") == 0, F.col("n") > 1
     head = F.concat(
@@ -124,20 +128,47 @@ def _walk(data: bytes):
         at = stop + 4
 
 
-_PART = "origin string, number int, total long, type string, page_id long, refers_to long, url string, digest string, length long, block binary"
-_PART_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+_PART = "origin string, number int, total long, type string, page_id long, refers_to long, url string, digest string, length long, block binary, payload binary"
+_PART_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
 _PART_NAMES = [x.split()[0] for x in _PART.split(", ")]
 
 
-def _parts(batches):
+def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+def _parts(payloads: bool):
+    """Rows of records; those without segments are finished here, the others keep their blocks."""
     number = lambda v: None if v is None else int(v)
-    for batch in batches:
-        for raw in batch.column(0):
-            rows = []
-            for h, block in _walk(gzip.decompress(raw.as_py())):
-                origin = h.get("warc-segment-origin-id", h["warc-record-id"])
-                rows.append((origin, number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), h["warc-type"], number(h.get("x-page")), number(h.get("x-refers-to-page")), h.get("warc-target-uri"), h.get("warc-payload-digest", "")[5:], number(h.get("x-payload-length")), block))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PART_KINDS)], _PART_NAMES)
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                rows = []
+                for h, block in _walk(gzip.decompress(raw.as_py())):
+                    kind, digest, part = h["warc-type"], h.get("warc-payload-digest", "")[5:], number(h.get("warc-segment-number"))
+                    origin, length, payload = h.get("warc-segment-origin-id", h["warc-record-id"]), number(h.get("x-payload-length")), None
+                    if part is None:
+                        length, payload = finished(kind, digest, length, block)
+                        block = None
+                    rows.append((origin, part, number(h.get("warc-segment-total-length")), kind, number(h.get("x-page")), number(h.get("x-refers-to-page")), h.get("warc-target-uri"), digest, length, block, payload if payloads else None))
+                    if len(rows) >= 500:
+                        yield _batch(rows, _PART_KINDS, _PART_NAMES)
+                        rows = []
+                yield _batch(rows, _PART_KINDS, _PART_NAMES)
+
+    return run
+
+
+def finished(kind: str, digest: str, length: int, block: bytes) -> tuple[int, bytes | None]:
+    """Length and payload of a whole block; a revisit has only the length that it states."""
+    if kind == "revisit":
+        return length, None
+    head, _, body = block.partition(b"\r\n\r\n")
+    payload = unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body
+    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise ValueError("a payload's digest differs from the record's")
+    return len(payload), payload
 
 
 def unchunk(body: bytes) -> bytes:
@@ -156,25 +187,16 @@ def unchunk(body: bytes) -> bytes:
     return b"".join(out)
 
 
-_DONE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-_DONE_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-
-
 def _finish(payloads: bool):
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                head, _, body = r["block"].partition(b"\r\n\r\n")
-                if r["type"] == "revisit":
-                    rows.append((r["page_id"], r["length"], r["digest"], "revisit", r["refers_to"], r["url"], None))
-                    continue
-                payload = unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                if digest != r["digest"]:
-                    raise ValueError(f"payload digest of {r['origin']} differs")
-                rows.append((r["page_id"], len(payload), digest, "response", None, r["url"], payload if payloads else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_DONE_KINDS)], [x.split()[0] for x in _DONE.split(", ")])
+            place = batch.schema.get_field_index
+            columns = list(batch.columns)
+            done = [finished("response", d.as_py(), 0, b.as_py()) for d, b in zip(columns[place("digest")], columns[place("block")])]
+            columns[place("length")] = pa.array([n for n, _ in done], pa.int64())
+            columns[place("block")] = pa.nulls(len(done), pa.binary())
+            columns[place("payload")] = pa.array([p for _, p in done], pa.binary()) if payloads else pa.nulls(len(done), pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, _PART_NAMES)
 
     return run
 
@@ -182,22 +204,26 @@ def _finish(payloads: bool):
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row per response and revisit record under path; payload only where payloads is set (null for revisits)."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    parts = files.mapInArrow(_parts, _PART)
-    whole = parts.filter("number IS NULL")
-    groups = parts.filter("number IS NOT NULL").groupBy("origin")
+    parts = cut(files.mapInArrow(_parts(payloads), _PART), "warc-parts")  # archives are parsed once
     # The segments of one record: bounded by that record's own size.
-    joined = groups.agg(
-        F.sort_array(F.collect_set(F.struct("number", "block"))).alias("s"),
-        F.max("total").alias("total"),
-        F.max(F.when(F.col("number") == 1, F.struct("type", "page_id", "refers_to", "url", "digest", "length"))).alias("h"),
+    joined = (
+        parts.filter("number IS NOT NULL")
+        .groupBy("origin")
+        .agg(
+            F.sort_array(F.collect_set(F.struct("number", "block"))).alias("s"),
+            F.max("total").alias("total"),
+            F.max(F.when(F.col("number") == 1, F.struct("type", "page_id", "refers_to", "url", "digest", "length"))).alias("h"),
+        )
     )
     block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
     complete = (F.element_at("s", -1)["number"] == F.size("s")) & (F.octet_length(block) == F.col("total"))
     joined = joined.select(
         "origin", F.lit(None).cast("int").alias("number"), "total", "h.*",
         F.when(complete, block).otherwise(F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin")))).alias("block"),
+        F.lit(None).cast("binary").alias("payload"),
     )
-    return whole.unionByName(joined).mapInArrow(_finish(payloads), _DONE)
+    done = parts.filter("number IS NULL").unionByName(joined.select(*_PART_NAMES).mapInArrow(_finish(payloads), _PART))
+    return done.select("page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url", "payload")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
