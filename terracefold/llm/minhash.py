@@ -9,6 +9,9 @@
    node's best, then those that would join two components.
 5. A node next to a large component is also held against that component's hubs (the nodes with most links), so a copy
    that resembles only the original of a crowded group is found. Rounds go on until none adds a link.
+6. A prefix-filter join on full sets ends the search exactly: two sets that reach SIMILARITY share a shingle among the
+   first quarter of either in any common order, and common shingles come last in the order used. Every pair that shares
+   one, and lies in two components so far, is confirmed; pairs inside one component cannot change the result.
 
 Defined results: texts without a word (null, empty, blank) have no shingles and are linked with nothing. A null doc_id
 takes no part in grouping: component_id null, kept true. Repeated rows are copies of each other. Rows that share a
@@ -20,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, table
@@ -35,10 +38,42 @@ NEIGHBOURS = 12
 HUBS, FIRST_HUBS = 16, 4
 #: Rounds that try few pairs of each node before all are tried.
 NARROW_ROUNDS = 2
+#: Shingles of one in HOT_SHARE distinct texts are counted; the HOT_SHINGLES commonest with HOT_COUNT of those come last in
+#: the order of the prefix filter. This decides the filter's cost only: it is exact in any order.
+HOT_SHARE, HOT_COUNT, HOT_SHINGLES = 16, 3, 1 << 17
 _WIDTH = 4 * DEPTH
 
 
-def _sign(batches):
+def _counted(batches):
+    for batch in batches:
+        sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
+        if sets:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+
+def hot_shingles(docs: DataFrame, text: str) -> np.ndarray:
+    """The commonest shingles, the rarest of them first."""
+    some = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(HOT_SHARE)) == 0).distinct()
+    counts = some.mapInArrow(_counted, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_COUNT)
+    rows = counts.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).toArrow()
+    return rows.column("h").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def _prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of which a set that reaches SIMILARITY must have one: by hash, then hot ones by rank."""
+    n = len(s) + (-SIMILARITY * len(s) // 100) + 1 if len(s) else 0
+    if not len(hot):
+        return s[:n]
+    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    common = hot[at] == s
+    cold = s[~common]
+    if len(cold) >= n:
+        return cold[:n]
+    at = at[common]
+    return np.concatenate([cold, hot[at[np.argsort(rank[at])]]])[:n]
+
+
+def _sign(batches, hot, rank):
     for batch in batches:
         sets = list(shingle_sets(batch.column(2)))
         m = minhashes(sets)
@@ -53,14 +88,21 @@ def _sign(batches):
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([big[k * row : (k + 1) * row] for k in range(len(sets))], pa.binary()),
                 pa.array([low[k * row // 4 : (k + 1) * row // 4] for k in range(len(sets))], pa.binary()),
+                pa.array([_prefix(s, hot, rank).view(np.int64) for s in sets], pa.list_(pa.int64())),
             ],
-            ["doc_id", "text_hash", "n_shingles", "set_key", "sig", "sketch"],
+            ["doc_id", "text_hash", "n_shingles", "set_key", "sig", "sketch", "first"],
         )
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text))
-    return slim.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary, sketch binary")
+    ranked = hot_shingles(docs, text)
+    rank = np.argsort(ranked)
+    hot = ranked[rank]
+    return slim.mapInArrow(
+        lambda batches: _sign(batches, hot, rank),
+        "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary, sketch binary, first array<long>",
+    )
 
 
 _PASS = "kind int, a long, b long, est float, tree int, prefix binary, sketch binary"
@@ -183,13 +225,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, component) of the nodes that have a confirmed link."""
     near = cut(candidates(nodes), "candidates")
-    members = _both_ways(near).select(F.col("x").alias("node")).distinct()
-    wanted = nodes.join(members, "node", "left_semi").select("node", F.col("text_hash").alias("_h"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text"))
-    texts = cut(
-        slim.join(wanted, (F.col("_d") == F.col("node")) & (F.col("_t") == F.col("_h"))).select("node", "text").dropDuplicates(["node"]),
-        "near-texts",
-    )
+    texts = _texts(docs, nodes, near, text)
     strong = near.filter(F.col("est") >= CONFIRM)
     best = _both_ways(strong, "est").groupBy("x").agg(F.max(F.struct("est", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     tried = cut(_ordered(best), "first-pairs")
@@ -201,12 +237,49 @@ def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nod
         todo = cut(_next_pairs(near, nodes, links, comp, wide).join(tried, ["a", "b"], "left_anti"), "more-pairs")
         more = cut(confirm(todo, texts), "more-links")
         if wide and more.isEmpty():
-            return comp
+            break
         turn += 1
         # What is joined already comes in as stars, so the next components take few rounds.
         joined = comp.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         tried = tried.union(todo)
         links = links.union(more)
+    rest = cut(_crossing(signed, nodes, comp), "rest-pairs")
+    more = cut(confirm(rest, _texts(docs, nodes, rest, text)), "rest-links")
+    if more.isEmpty():
+        return comp
+    stars = comp.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return cut(components(stars.union(more)), "components")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+    """(node, text) of the nodes in pairs."""
+    members = _both_ways(pairs).select(F.col("x").alias("node")).distinct()
+    wanted = nodes.join(members, "node", "left_semi").select("node", F.col("text_hash").alias("_h"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text"))
+    return cut(
+        slim.join(wanted, (F.col("_d") == F.col("node")) & (F.col("_t") == F.col("_h"))).select("node", "text").dropDuplicates(["node"]),
+        "near-texts",
+    )
+
+
+def _crossing(signed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes of two components that can reach SIMILARITY, by their first shingles, sizes and positions."""
+    own = nodes.select("node", "text_hash").join(comp, "node", "left").select("node", "text_hash", F.coalesce("component", "node").alias("c"))
+    sets = signed.filter("n_shingles > 0").select(F.col("doc_id").alias("node"), "text_hash", F.col("n_shingles").cast("int").alias("n"), "first")
+    sets = own.join(sets.dropDuplicates(["node", "text_hash"]), ["node", "text_hash"])
+    each = sets.select("node", "c", "n", F.posexplode("first").alias("i", "h"))
+    by = Window.partitionBy("h")
+    mixed = each.withColumn("c0", F.min("c").over(by)).withColumn("c1", F.max("c").over(by)).filter("c0 <> c1").drop("c0", "c1")
+    mixed = cut(mixed, "blocks")
+    # A pair's first common shingle passes: what they have in common from there on suffices.
+    pairs = mixed.alias("x").join(
+        mixed.alias("y"),
+        F.expr(
+            f"x.h = y.h AND x.node < y.node AND x.c <> y.c AND 100 * least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)"
+            f" AND {100 + SIMILARITY} * least(x.n - x.i, y.n - y.i) >= {SIMILARITY} * (x.n + y.n)"
+        ),
+    )
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _next_pairs(near: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataFrame, wide: bool) -> DataFrame:

@@ -82,3 +82,10 @@ def test_shingles_do_not_cross_texts():
     a, b = shingle_sets(pa.array(["a b c d e", "f g h i j"]))
     assert len(a) == len(b) == 1
     assert [len(s) for s in shingle_sets(pa.array(["a b c d", None, "e f"]))] == [1, 0, 1]
+
+
+def test_links_without_any_candidate(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "candidates", lambda nodes: spark.createDataFrame([], "a long, b long, est float"))
+    rows = corpus(4)
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
