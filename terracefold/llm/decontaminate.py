@@ -2,9 +2,9 @@
 
 Texts become template tokens: letters and digits, lower case, with numbers, units after numbers and names inside
 sentences replaced by typed placeholders. Windows of WINDOW template tokens of every document are hash-joined with
-those of the benchmark; hits of one document and item on one alignment add up to covered tokens, and the values in
-their slots must map one to one (the same benchmark value always to the same document value), so a question asked
-again with other numbers or names is caught, and a chance likeness of forms is not.
+those of the benchmark; hits of one document and item on one alignment add up to covered tokens. A benchmark value
+must always map to the same document value: a window with a value that maps to several counts only where all its own
+values are equal. So a question asked again with other numbers or names is caught, and a chance likeness of forms is not.
 
 DataFrame operations only. The benchmark's windows are one side of an equi-join; Spark broadcasts them only where
 their measured size allows it and otherwise shuffles, splitting hot windows.
@@ -95,9 +95,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("slots2", F.array().cast("array<struct<p:int,v:string>>")),
         lambda x, i: F.struct(x["p"].alias("p"), x["v"].alias("a"), F.get(F.col("slots"), i)["v"].alias("b")),
     )
-    by = hits.groupBy("doc_id", "th", "item_id", "item_tokens", "shift").agg(
-        F.sort_array(F.collect_set(F.struct("j", "width"))).alias("js"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("map")
-    )
+    by = hits.groupBy("doc_id", "th", "item_id", "item_tokens", "shift").agg(F.collect_set(F.struct("j", "width", pairs.alias("map"))).alias("ws"))
+    maps = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.transform(w["map"], lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))))
+    by = by.withColumn("values", F.transform(maps, lambda x: x["a"]))
+    by = by.withColumn("torn", F.filter("values", lambda a, i: F.array_position("values", a) <= i))
+    equal = lambda w: F.forall(w["map"], lambda x: x["a"] == x["b"])
+    whole = lambda w: F.forall(w["map"], lambda x: ~F.array_contains("torn", x["a"]))
+    kept = F.filter("ws", lambda w: equal(w) | whole(w))
+    by = by.withColumn("js", F.sort_array(F.array_distinct(F.transform(kept, lambda w: F.struct(w["j"].alias("j"), w["width"].alias("width"))))))
     covered = F.aggregate(
         "js",
         F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
@@ -106,11 +111,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
         lambda a: a["n"],
     )
-    values = lambda *f: F.size(F.array_distinct(F.transform("map", lambda x: F.struct(*[x[k] for k in f]))))
-    one_to_one = (values("a") == values("a", "b")) & (values("b") == values("a", "b"))
     return (
         by.withColumn("covered", covered)
-        .filter(one_to_one & (F.col("covered") >= F.least(F.lit(MIN_COVERED), F.col("item_tokens"))))
+        .filter(F.col("covered") >= F.least(F.lit(MIN_COVERED), F.col("item_tokens")))
         .groupBy("doc_id", "th", "item_id")
         .agg(F.max("covered").cast("long").alias("covered"), F.max("item_tokens").cast("long").alias("item_tokens"))
     )

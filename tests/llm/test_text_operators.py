@@ -209,3 +209,17 @@ def test_decontamination_odd_rows(spark, odd, none):
     left = decontaminate.drop_leaks(odd, items)
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {3, 4, 5, 6, 7, 8, 9}
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
+
+
+def found(spark, asked, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, asked)], "item_id long, text string")
+    return {r.doc_id: r.covered for r in decontaminate.leaks(docs, items).collect()}
+
+
+def test_values_that_merge_or_change_once(spark):
+    asked = "the town has 40 people in the north and a further 25 people in the south who all wish to know how many there are together"
+    merged = asked.replace("40", "30").replace("25", "30")
+    assert found(spark, asked, merged) == {0: 26}
+    asked = "she buys 12 eggs on the first day and after that she goes home and bakes some more of them and then buys 12 eggs"
+    assert found(spark, asked, asked[:-7] + "15 eggs") == {0: 23}
