@@ -9,6 +9,8 @@ values are equal. So a question asked again with other numbers or names is caugh
 DataFrame operations only. The benchmark's windows are one side of an equi-join; Spark broadcasts them only where
 their measured size allows it and otherwise shuffles, splitting hot windows.
 
+Windows of plain tokens add pairs: covered counts template windows where these are enough, and both kinds elsewhere.
+
 Defined results: a pair needs MIN_COVERED covered tokens, or all tokens of a shorter item. Items with fewer tokens
 than a window are searched with windows of their own length. Null and empty texts and items match nothing. Rows
 that repeat doc_id and text give one row. A null doc_id is reported as null. Empty tables give an empty result.
@@ -54,24 +56,32 @@ def template(raw: Column) -> Column:
 
 
 def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """(keys, h, at, slots): hashes of template windows with, where there are any, the values of their slots."""
+    """(keys, h, at, slots): hashes of template windows with, where there are any, the values of their slots.
+
+    Windows of more than half slots are hashed as plain tokens: they match where they are equal.
+    """
     raw, tokens = F.col("_raw"), F.col("_tokens")
     slot = lambda x: x.isin("<num>", "<unit>", "<name>")
     out = rows.withColumn("_slots", F.exists(tokens, slot))
 
+    def by_value(slots: Column, h: Column, plain: Column, i: Column) -> Column:
+        dense = F.coalesce(F.size(slots), F.lit(0)) * 2 > width
+        return F.struct(F.when(dense, plain).otherwise(h).alias("h"), i.alias("at"), F.when(~dense, slots).alias("slots"), dense.alias("exact"))
+
     def at(i: Column) -> Column:
         h = F.xxhash64(*[F.get(tokens, i + k) for k in range(width)])
         here = F.sequence(i, i + (width - 1))
         values = F.transform(
             F.filter(here, lambda p: slot(F.get(tokens, p))), lambda p: F.struct(p.alias("p"), F.concat(F.get(tokens, p), F.get(raw, p)).alias("v"))
         )
-        return F.struct(h.alias("h"), i.alias("at"), F.when(F.col("_slots"), values).alias("slots"))
+        plain = F.xxhash64(*[F.lower(F.replace(F.get(raw, i + k), F.lit(_NAME), F.lit(""))) for k in range(width)])
+        slots = F.when(F.col("_slots"), values)
+        return let(slots, lambda v: by_value(v, h, plain, i))
 
     n = F.size(tokens)
     each = F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), at))
     out = out.select(*keys, F.explode(each).alias("_w"))
-    out = out.select(*keys, F.col("_w.h").alias("h"), F.col("_w.at").alias("at"), F.col("_w.slots").alias("slots"))
-    return out.filter(F.coalesce(F.size("slots"), F.lit(0)) * 2 <= width)
+    return out.select(*keys, F.col("_w.h").alias("h"), F.col("_w.at").alias("at"), F.col("_w.slots").alias("slots"), F.col("_w.exact").alias("exact"))
 
 
 def _tokenized(df: DataFrame, keys: list[Column], text: str) -> DataFrame:
@@ -87,35 +97,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = None
     for width in [WINDOW, *sorted(short)]:
         some = items if width == WINDOW else items.filter(F.col("item_tokens") == width)
-        asked = windows(some, ["item_id", "item_tokens"], width).select("item_id", "item_tokens", F.col("h").alias("h2"), F.col("at").alias("at2"), F.col("slots").alias("slots2"))
+        asked = windows(some, ["item_id", "item_tokens"], width).select("item_id", "item_tokens", F.col("h").alias("h2"), F.col("at").alias("at2"), F.col("slots").alias("slots2"), F.col("exact").alias("exact2"))
         found = windows(docs_t, ["doc_id", "th"], width).join(asked, F.col("h") == F.col("h2"))
-        found = found.select("doc_id", "th", "item_id", "item_tokens", (F.col("at") - F.col("at2")).alias("shift"), F.col("at2").alias("j"), F.lit(width).alias("width"), "slots", "slots2")
+        found = found.select("doc_id", "th", "item_id", "item_tokens", (F.col("at") - F.col("at2")).alias("shift"), F.col("at2").alias("j"), F.lit(width).alias("width"), "slots", "slots2", (F.col("exact") | F.col("exact2")).alias("exact"))
         hits = found if hits is None else hits.union(found)
     pairs = F.transform(
         F.coalesce("slots2", F.array().cast("array<struct<p:int,v:string>>")),
         lambda x, i: F.struct(x["p"].alias("p"), x["v"].alias("a"), F.get(F.col("slots"), i)["v"].alias("b")),
     )
-    by = hits.groupBy("doc_id", "th", "item_id", "item_tokens", "shift").agg(F.collect_set(F.struct("j", "width", pairs.alias("map"))).alias("ws"))
+    by = hits.groupBy("doc_id", "th", "item_id", "item_tokens", "shift").agg(F.collect_set(F.struct("j", "width", "exact", pairs.alias("map"))).alias("ws"))
     maps = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.transform(w["map"], lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))))
     by = by.withColumn("values", F.transform(maps, lambda x: x["a"]))
     by = by.withColumn("torn", F.filter("values", lambda a, i: F.array_position("values", a) <= i))
     equal = lambda w: F.forall(w["map"], lambda x: x["a"] == x["b"])
     whole = lambda w: F.forall(w["map"], lambda x: ~F.array_contains("torn", x["a"]))
     kept = F.filter("ws", lambda w: equal(w) | whole(w))
-    by = by.withColumn("js", F.sort_array(F.array_distinct(F.transform(kept, lambda w: F.struct(w["j"].alias("j"), w["width"].alias("width"))))))
-    covered = F.aggregate(
-        "js",
-        F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
-        lambda a, x: F.struct(
-            (x["j"] + x["width"]).alias("to"), (a["n"] + F.least(x["width"], x["j"] + x["width"] - a["to"])).alias("n")
-        ),
-        lambda a: a["n"],
-    )
+
+    def covered(ws: Column) -> Column:
+        return F.aggregate(
+            F.sort_array(F.array_distinct(F.transform(ws, lambda w: F.struct(w["j"].alias("j"), w["width"].alias("width"))))),
+            F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
+            lambda a, x: F.struct(
+                (x["j"] + x["width"]).alias("to"), (a["n"] + F.least(x["width"], x["j"] + x["width"] - a["to"])).alias("n")
+            ),
+            lambda a: a["n"],
+        )
+
+    by = by.withColumn("kept", kept).withColumn("covered", covered(F.col("kept"))).withColumn("by_template", covered(F.filter("kept", lambda w: ~w["exact"])))
+    least = F.least(F.lit(MIN_COVERED), F.col("item_tokens"))
+    # covered is what templates cover wherever that is enough; windows of plain tokens add pairs.
     return (
-        by.withColumn("covered", covered)
-        .filter(F.col("covered") >= F.least(F.lit(MIN_COVERED), F.col("item_tokens")))
+        by.filter(F.col("covered") >= least)
         .groupBy("doc_id", "th", "item_id")
-        .agg(F.max("covered").cast("long").alias("covered"), F.max("item_tokens").cast("long").alias("item_tokens"))
+        .agg(
+            F.coalesce(F.max(F.when(F.col("by_template") >= least, F.col("by_template"))), F.max("covered")).cast("long").alias("covered"),
+            F.max("item_tokens").cast("long").alias("item_tokens"),
+        )
     )
 
 

@@ -223,3 +223,9 @@ def test_values_that_merge_or_change_once(spark):
     assert found(spark, asked, merged) == {0: 26}
     asked = "she buys 12 eggs on the first day and after that she goes home and bakes some more of them and then buys 12 eggs"
     assert found(spark, asked, asked[:-7] + "15 eggs") == {0: 23}
+
+
+def test_windows_of_numbers(spark):
+    asked = "Compute 12 34 56 78 90 11 22 33 44 55 66 77 88 99"
+    assert found(spark, asked, "So: " + asked + " now", asked.replace("56", "57")) == {0: 15}
+    assert found(spark, "add 3 4", "please add 3 4 now", "please add 3 5 now") == {0: 3}
