@@ -58,15 +58,18 @@ def template(raw: Column) -> Column:
 def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     """(keys, h, at, slots): hashes of template windows with, where there are any, the values of their slots.
 
-    Windows of more than half slots are hashed as plain tokens: they match where they are equal.
+    Windows with slots are hashed as plain lower-case tokens too, so equal text matches whatever stands around it and in
+    any case; windows of more than half slots are hashed as plain tokens only.
     """
     raw, tokens = F.col("_raw"), F.col("_tokens")
     slot = lambda x: x.isin("<num>", "<unit>", "<name>")
     out = rows.withColumn("_slots", F.exists(tokens, slot))
 
     def by_value(slots: Column, h: Column, plain: Column, i: Column) -> Column:
-        dense = F.coalesce(F.size(slots), F.lit(0)) * 2 > width
-        return F.struct(F.when(dense, plain).otherwise(h).alias("h"), i.alias("at"), F.when(~dense, slots).alias("slots"), dense.alias("exact"))
+        none = F.lit(None).cast("array<struct<p:int,v:string>>")
+        of = lambda k, v, exact: F.struct(k.alias("h"), i.alias("at"), v.alias("slots"), F.lit(exact).alias("exact"))
+        n = F.coalesce(F.size(slots), F.lit(0))
+        return F.when(n == 0, F.array(of(h, none, False))).when(n * 2 > width, F.array(of(plain, none, True))).otherwise(F.array(of(h, slots, False), of(plain, none, True)))
 
     def at(i: Column) -> Column:
         h = F.xxhash64(*[F.get(tokens, i + k) for k in range(width)])
@@ -80,7 +83,7 @@ def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
 
     n = F.size(tokens)
     each = F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), at))
-    out = out.select(*keys, F.explode(each).alias("_w"))
+    out = out.select(*keys, F.explode(F.flatten(each)).alias("_w"))
     return out.select(*keys, F.col("_w.h").alias("h"), F.col("_w.at").alias("at"), F.col("_w.slots").alias("slots"), F.col("_w.exact").alias("exact"))
 
 

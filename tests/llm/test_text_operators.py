@@ -229,3 +229,8 @@ def test_windows_of_numbers(spark):
     asked = "Compute 12 34 56 78 90 11 22 33 44 55 66 77 88 99"
     assert found(spark, asked, "So: " + asked + " now", asked.replace("56", "57")) == {0: 15}
     assert found(spark, "add 3 4", "please add 3 4 now", "please add 3 5 now") == {0: 3}
+
+
+def test_equal_text_in_other_surroundings(spark):
+    asked = "What is the capital city of France today?"
+    assert found(spark, asked, "Here is one: " + asked, "We asked. " + asked, "so " + asked.lower(), asked.replace(" ", "\n")) == dict.fromkeys(range(4), 8)
