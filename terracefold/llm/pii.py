@@ -40,7 +40,8 @@ _NUMBERS = re.compile(
     )(?!\w)""",
     re.X,
 )
-_QUICK = re.compile(r"[0-9]{2}|@|[0-9a-f]{32}")
+#: Holds in every text that has an address or a match of _NUMBERS; \d takes all decimal digits, as there.
+_QUICK = re.compile(r"\d[\d.]|@|[0-9a-fA-F]{32}|sk-|gh[pousr]_|AKIA|ASIA|\+\d|\d[ -]\d")
 _LOCAL = re.compile(r"[\w.+%-]+\Z")
 _HOST = re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
 

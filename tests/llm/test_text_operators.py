@@ -70,6 +70,13 @@ def test_formats(feistel):
     assert pii.replace("+1 (826) 555-4081 190.137.223.204", feistel)[1] == 2
 
 
+def test_values_without_two_digits_side_by_side(feistel):
+    for value in ("8.8.8.8", "1.1.1.1", "sk-a1bcdefghijklmnopqrstu", "ghp_" + "a1b" * 12, "AKIA" + "A1BC" * 4, "ASIA" + "A1BC" * 4, "AbCdEfAb" * 4, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"):
+        alone, n = pii.replace(f"x {value} y", feistel)
+        beside, m = pii.replace(f"x {value} y in 2020", feistel)
+        assert n == m == 1 and value not in alone and beside == alone + " in 2020"
+
+
 def test_nothing_private_stays(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pattern = re.compile(r"[\w.]+@[\w.]+\w|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b(?:\d{1,3}\.){3}\d{1,3}\b|[0-9a-fA-F]{40}")
