@@ -2,16 +2,18 @@
 
 1. Every whole text gives its set of word shingles, a 128-bit key of that set and TREES * DEPTH minhashes.
 2. Equal sets become one node (copies are never expanded into pairs).
-3. Each tree sorts all nodes by its own DEPTH minhashes (a range-partitioned sort, so a crowded region is dealt over
-   tasks); of the next NEIGHBOURS nodes on each side that share a prefix the likest one is a candidate. In sparse regions one common component is
-   enough, in crowded ones neighbours agree on many: the depth adapts to the region.
+3. Each tree sorts all nodes by its own DEPTH minhashes and, where these are equal, by the low bytes of all others (a
+   range-partitioned sort, so a crowded region is dealt over tasks). The rows next to a node in that order are those of
+   the longest common prefix: a short one in a sparse region, a deeper one in a crowded region. Of the next NEIGHBOURS
+   on each side that share a prefix, the likest is taken; over all trees a node keeps its BEST likest.
 4. A candidate's similarity is estimated from all minhashes; promising ones are confirmed on full sets, first each
-   node's best, then those that would join two components.
+   node's best, then those that would join two components. A pair whose ends have met is dropped for good.
 5. A node next to a large component is also held against that component's hubs (the nodes with most links), so a copy
    that resembles only the original of a crowded group is found. Rounds go on until none adds a link.
-6. A prefix-filter join on full sets ends the search exactly: two sets that reach SIMILARITY share a shingle among the
-   first quarter of either in any common order, and common shingles come last in the order used. Every pair that shares
-   one, and lies in two components so far, is confirmed; pairs inside one component cannot change the result.
+6. None of these bounds loses a link: a prefix-filter join on full sets completes the search exactly. Two sets that reach
+   SIMILARITY share a shingle among the first quarter of either in any common order (common shingles come last in the
+   order used). Blocks of such a shingle pair up components, not nodes, so a crowded group of one component costs one
+   row; of the members of two components those pairs are confirmed whose sizes, positions and first quarters allow it.
 
 Defined results: texts without a word (null, empty, blank) have no shingles and are linked with nothing. A null doc_id
 takes no part in grouping: component_id null, kept true. Repeated rows are copies of each other. Rows that share a
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, drop_cut, fresh, table
 from .graph import components
 from .shingles import DEPTH, TREES, minhashes, shingle_sets
 
@@ -34,6 +36,8 @@ from .shingles import DEPTH, TREES, minhashes, shingle_sets
 SIMILARITY = 75
 CONFIRM, ADJACENT = 0.57, 0.4
 NEIGHBOURS = 12
+#: Candidates that a node keeps of all trees, the likest first; step 6 finds what the others would have.
+BEST = 4
 #: Hubs of a component: the best-linked node of each hash share of its nodes.
 HUBS, FIRST_HUBS = 16, 4
 #: Rounds that try few pairs of each node before all are tried.
@@ -130,7 +134,7 @@ def _neighbours(batches):
             seen_first = True
         tree = batch.column(0).to_numpy()
         node = batch.column(1).to_numpy()
-        head = fixed(batch.column(2), ">u4", DEPTH)[:, 0]
+        head = fixed(batch.column(2), ">u4", DEPTH)
         sketch = fixed(batch.column(3), np.uint8, TREES * DEPTH)
         if held is not None:
             tree, node, head, sketch = (np.concatenate(x) for x in zip(held, (tree, node, head, sketch)))
@@ -138,9 +142,14 @@ def _neighbours(batches):
         # est[o - 1, i]: likeness of rows i and i + o where they share a prefix; a row takes its best one on either side.
         n, out = len(tree), []
         est = np.full((NEIGHBOURS, n), -1, np.float32)
+        # lcp[i]: components that rows i and i + 1 have in common from the first one on; over a distance, the least of them.
+        lcp = np.logical_and.accumulate(head[:-1] == head[1:], axis=1).sum(axis=1)
+        lcp[tree[:-1] != tree[1:]] = 0
+        least = lcp
         for o in range(1, min(NEIGHBOURS, n - 1) + 1):
+            least = lcp if o == 1 else np.minimum(least[:-1], lcp[o - 1 :])
             i = np.arange(max(0, fresh_from - o), n - o)
-            i = i[(tree[i] == tree[i + o]) & (head[i] == head[i + o]) & (node[i] != node[i + o])]
+            i = i[(least[i] > 0) & (node[i] != node[i + o])]
             if len(i):
                 est[o - 1, i] = (sketch[i] == sketch[i + o]).mean(axis=1, dtype=np.float32)
         ahead = est.max(axis=0)
@@ -167,18 +176,23 @@ def _neighbours(batches):
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, est): pairs of nodes that lie next to each other in some tree."""
+    """(a, b, est): pairs of nodes that lie next to each other in some tree and are among the BEST of one of them."""
+    # After a tree's own components come the low bytes of all, from the next tree's on.
+    turned = F.expr(f"concat(substring(sketch, 1 + {DEPTH} * tree), substring(sketch, 1, {DEPTH} * tree))")
     orders = nodes.select(
         F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), F.col("node"), F.col("sig"), F.col("sketch")
-    ).select("tree", "node", F.expr(f"substring(sig, 1 + {_WIDTH} * tree, {_WIDTH})").alias("prefix"), "sketch")
-    order = ["tree", "prefix", "node"]
+    ).select("tree", "node", F.expr(f"substring(sig, 1 + {_WIDTH} * tree, {_WIDTH})").alias("prefix"), turned.alias("sketch"))
+    order = ["tree", "prefix", "sketch", "node"]
     found = cut(
         orders.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _PASS), "forest"
     )
     # 2 * NEIGHBOURS rows a partition, whatever the input: neighbours across partition borders.
     seams = found.filter("kind = 1").select("tree", F.col("a").alias("node"), "prefix", "sketch").distinct()
     seams = seams.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _PASS)
-    return found.union(seams).filter("kind = 0").groupBy("a", "b").agg(F.max("est").alias("est"))
+    pairs = found.union(seams).filter("kind = 0").groupBy("a", "b").agg(F.max("est").alias("est"))
+    by = Window.partitionBy("x").orderBy(F.desc("est"), "y")
+    best = _both_ways(pairs, "est").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= BEST)
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "est").distinct()
 
 
 def _confirm(batches):
@@ -234,27 +248,29 @@ def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nod
     while True:
         wide = turn >= NARROW_ROUNDS
         comp = cut(components(joined), "components")
+        before, near = near, cut(_crossing(near, comp), "candidates")
+        drop_cut(before)
         todo = cut(_next_pairs(near, nodes, links, comp, wide).join(tried, ["a", "b"], "left_anti"), "more-pairs")
         more = cut(confirm(todo, texts), "more-links")
         if wide and more.isEmpty():
             break
         turn += 1
         # What is joined already comes in as stars, so the next components take few rounds.
-        joined = comp.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        tried = tried.union(todo)
-        links = links.union(more)
-    rest = cut(_crossing(signed, nodes, comp), "rest-pairs")
+        joined = _stars(comp).union(more)
+        tried, links = cut(tried.union(todo), "tried"), cut(links.union(more), "links")
+    drop_cut(texts)
+    rest = cut(_possible(_prefix_pairs(signed, nodes, comp), signed, nodes), "rest-pairs")
     more = cut(confirm(rest, _texts(docs, nodes, rest, text)), "rest-links")
-    if more.isEmpty():
-        return comp
-    stars = comp.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return cut(components(stars.union(more)), "components")
+    return comp if more.isEmpty() else cut(components(_stars(comp).union(more)), "components")
+
+
+def _stars(comp: DataFrame) -> DataFrame:
+    return comp.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """(node, text) of the nodes in pairs."""
-    members = _both_ways(pairs).select(F.col("x").alias("node")).distinct()
-    wanted = nodes.join(members, "node", "left_semi").select("node", F.col("text_hash").alias("_h"))
+    wanted = _members(nodes, pairs).select("node", F.col("text_hash").alias("_h"))
     slim = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text"))
     return cut(
         slim.join(wanted, (F.col("_d") == F.col("node")) & (F.col("_t") == F.col("_h"))).select("node", "text").dropDuplicates(["node"]),
@@ -262,27 +278,70 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str) -> Da
     )
 
 
-def _crossing(signed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b): all pairs of nodes of two components that can reach SIMILARITY, by their first shingles, sizes and positions."""
-    own = nodes.select("node", "text_hash").join(comp, "node", "left").select("node", "text_hash", F.coalesce("component", "node").alias("c"))
+def _members(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes that are in pairs."""
+    return nodes.join(_both_ways(pairs).select(F.col("x").alias("node")).distinct(), "node", "left_semi")
+
+
+def _sets_of(signed: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows of some (node, text_hash, ...) with their sizes n and first shingles."""
     sets = signed.filter("n_shingles > 0").select(F.col("doc_id").alias("node"), "text_hash", F.col("n_shingles").cast("int").alias("n"), "first")
-    sets = own.join(sets.dropDuplicates(["node", "text_hash"]), ["node", "text_hash"])
-    each = sets.select("node", "c", "n", F.posexplode("first").alias("i", "h"))
+    return some.join(sets, ["node", "text_hash"]).dropDuplicates(["node"])
+
+
+def _prefix_pairs(signed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes of two components that share one of their first shingles, by sizes and positions."""
+    own = nodes.select("node", "text_hash").join(comp, "node", "left").select("node", "text_hash", F.coalesce("component", "node").alias("c"))
+    each = _sets_of(signed, own).select("node", "c", "n", F.posexplode("first").alias("i", "h"))
     by = Window.partitionBy("h")
     mixed = each.withColumn("c0", F.min("c").over(by)).withColumn("c1", F.max("c").over(by)).filter("c0 <> c1").drop("c0", "c1")
     mixed = cut(mixed, "blocks")
+    # Pairs of components first: the members of one component are never held against each other.
+    sizes = mixed.groupBy("h", "c").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
+    sizes = cut(sizes, "block-classes")
+    meet = sizes.alias("x").join(
+        sizes.alias("y"),
+        F.expr(f"x.h = y.h AND x.c < y.c AND 100 * x.n1 >= {SIMILARITY} * y.n0 AND 100 * y.n1 >= {SIMILARITY} * x.n0"),
+    ).select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), F.col("y.c").alias("d"))
+    left = meet.join(mixed.select("h", "c", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi")), ["h", "c"])
+    right = mixed.select("h", F.col("c").alias("d"), F.col("node").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"))
     # A pair's first common shingle passes: what they have in common from there on suffices.
-    pairs = mixed.alias("x").join(
-        mixed.alias("y"),
-        F.expr(
-            f"x.h = y.h AND x.node < y.node AND x.c <> y.c AND 100 * least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)"
-            f" AND {100 + SIMILARITY} * least(x.n - x.i, y.n - y.i) >= {SIMILARITY} * (x.n + y.n)"
-        ),
+    fits = F.expr(
+        f"100 * least(xn, yn) >= {SIMILARITY} * greatest(xn, yn)"
+        f" AND {100 + SIMILARITY} * least(xn - xi, yn - yi) >= {SIMILARITY} * (xn + yn)"
     )
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.d") == F.col("r.d")) & fits)
+    return cut(_ordered(pairs), "prefix-pairs")
+
 
+def _possible(pairs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose first shingles leave room for SIMILARITY."""
+    sets = cut(_sets_of(signed, _members(nodes, pairs).select("node", "text_hash")).select("node", "n", "first"), "first-shingles")
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_room, "a long, b long")
 
-def _next_pairs(near: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataFrame, wide: bool) -> DataFrame:
+
+def _room(batches):
+    """A common shingle is in both first parts, or behind the first part that ends earlier in the order."""
+    for batch in batches:
+        keep = []
+        for na, nb, fa, fb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+            x, y = fa.values.to_numpy(), fb.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True)) + max(min(na - len(x), nb), min(nb - len(y), na))
+            keep.append((100 + SIMILARITY) * both >= SIMILARITY * (na + nb))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _crossing(near: DataFrame, comp: DataFrame) -> DataFrame:
+    """The candidates (a, b, est) whose ends lie in two components."""
+    of = lambda x, c: comp.select(F.col("node").alias(x), F.col("component").alias(c))
+    both = near.select("a", "b", "est").join(of("a", "_ca"), "a", "left").join(of("b", "_cb"), "b", "left")
+    both = both.select("a", "b", "est", F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb"))
+    return both.filter("ca <> cb")
+
+
+def _next_pairs(crossing: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataFrame, wide: bool) -> DataFrame:
     """(a, b): pairs that could join two components.
 
     For each node its best neighbour outside its component, and some hubs of that one's component; when wide, all its
@@ -293,13 +352,6 @@ def _next_pairs(near: DataFrame, nodes: DataFrame, links: DataFrame, comp: DataF
     hubs = comp.join(degree, "node").groupBy("component", share.alias("share")).agg(F.max(F.struct("degree", -F.col("node"))).alias("m"))
     hubs = hubs.filter(F.lit(wide) | (F.col("share") < FIRST_HUBS))
     hubs = hubs.select(F.col("component").alias("y_comp"), (-F.col("m").getField("col2")).alias("hub"))
-    crossing = (
-        near.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .withColumn("ca", F.coalesce("ca", "a"))
-        .withColumn("cb", F.coalesce("cb", "b"))
-        .filter("ca <> cb")
-    )
     side = lambda x, y, c: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(c).alias("y_comp"), "est")
     sides = crossing.select(F.explode(F.array(side("a", "b", "cb"), side("b", "a", "ca"))).alias("s")).select("s.*")
     if not wide:

@@ -1,7 +1,8 @@
 """Hashed word shingles of whole texts, many documents at a time in numpy.
 
 A text is lower-cased for A-Z and split into words `[^\\x20\\x09-\\x0D]+`; all of that is ASCII, so UTF-8 bytes do.
-Word hashes come from one prefix sum over the bytes, shingle hashes from five word hashes; both have 64 bits.
+Word hashes come from one prefix sum over mixed (byte, place) values, shingle hashes from five word hashes; both have
+64 bits.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ _LOWER[65:91] += 32
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)[_LOWER]
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C17)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULT = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63 - 1, SHINGLE)]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -32,18 +31,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grow(n: int) -> None:
-    if len(_powers[0]) < n + 1:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            a = np.full(n + 1, base, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a)
-
-
 def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes in order, and the number of words before each document start (and in all)."""
     n = len(data)
-    _grow(n)
     ws = _WS[data]
     first = ~ws
     first[1:] &= ws[:-1]
@@ -54,9 +44,13 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] &= ws[1:]
     last[inner - 1] = ~ws[inner - 1]
     end = np.flatnonzero(last) + 1
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(len(starts) + 1, np.int64)
+    # Each byte counts as a mixed value of itself and its place in the word, so no pattern of letters cancels out.
+    place = np.arange(n) - begin[np.maximum(np.cumsum(first) - 1, 0)]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers[0][:n], out=sums[1:])
-    h = _mix((sums[end] - sums[begin]) * _powers[1][begin])
+    np.cumsum(_mix(_BYTE[data] + place.astype(np.uint64) * _STEP), out=sums[1:])
+    h = _mix(sums[end] - sums[begin])
     return h, np.searchsorted(begin, np.append(starts, n))
 
 

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from terracefold.llm import graph, minhash
 from terracefold.llm.shingles import shingle_sets
 
-import pyarrow as pa
-
 
 def brute(rows):
     """component and set size of (doc_id, text) rows with distinct ids."""
@@ -89,3 +90,56 @@ def test_links_without_any_candidate(spark, monkeypatch):
     rows = corpus(4)
     got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def crowded(seed, n):
+    """Texts around one text: most pairs are just below the threshold, each third text has a partner above it."""
+    r = random.Random(seed)
+    base = ["b%d" % k for k in range(120)]
+    rows = []
+    while len(rows) < n:
+        t = list(base)
+        for _ in range(r.randint(2, 5)):
+            t[r.randrange(len(t))] = "x%d" % r.randrange(10**6)
+        rows.append(" ".join(t))
+        if len(rows) % 3 == 0:
+            t[r.randrange(len(t))] = "y%d" % r.randrange(10**6)
+            rows.append(" ".join(t))
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_no_link_is_lost_in_a_crowded_region(spark):
+    rows = crowded(5, 1500)
+    sets = list(shingle_sets(pa.array([t for _, t in rows])))
+    names = {h: k for k, h in enumerate(sorted({int(h) for s in sets for h in s}))}
+    has = np.zeros((len(rows), len(names)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [names[int(h)] for h in s]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in np.argwhere(np.triu(linked, 1)):
+        p, q = find(int(a)), find(int(b))
+        parent[max(p, q)] = min(p, q)
+    want = {k: find(k) for k in range(len(rows))}
+    assert len(set(want.values())) > 20
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_words_of_a_regular_pattern_are_told_apart():
+    flip = {"a": "b", "b": "a"}
+    word = "a"
+    while len(word) < 2048:
+        word += "".join(flip[c] for c in word)
+    a, b = shingle_sets(pa.array([word, "".join(flip[c] for c in word)]))
+    assert a[0] != b[0]
+    x, y = shingle_sets(pa.array(["One two\tthree four five six", "one  TWO three\nfour five six "]))
+    assert len(x) == 2 and set(x) == set(y)
