@@ -7,7 +7,8 @@ must always map to the same document value: a window with a value that maps to s
 values are equal. So a question asked again with other numbers or names is caught, and a chance likeness of forms is not.
 
 DataFrame operations only. The benchmark's windows are one side of an equi-join; Spark broadcasts them only where
-their measured size allows it and otherwise shuffles, splitting hot windows.
+their measured size allows it and otherwise shuffles, splitting hot windows. Documents that share no shorter piece of a
+window with the benchmark are set aside first.
 
 Windows of plain tokens add pairs: covered counts template windows where these are enough, and both kinds elsewhere.
 
@@ -21,38 +22,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, cut, fresh, let, table
+from .common import WS_CHARS, WS_CLASS, cut, fresh, let, table
 
 WINDOW = 8
 MIN_COVERED = 13
 #: Fixed list: units of measure that count as a slot after a number.
 UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "lb", "lbs", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "months", "years", "miles", "mile", "meters", "metres", "feet", "foot", "inches", "dollars", "dollar", "cents", "euros", "euro", "pounds", "percent", "degrees", "kmh", "mph"]
 _NAME, _POINT = "\ue000", "\ue001"
+_IN = r"[^\x20\x09-\x0D]"
+#: Tokens of the pieces that are looked up first, and the distance between a document's: one lies in every window.
+PIECE = 6
+STRIDE = WINDOW - PIECE + 1
 
 
-def raw_tokens(text: Column) -> Column:
-    """Tokens of letters and digits; names carry a mark in front, decimal points one inside."""
+def marked(text: Column) -> Column:
+    """Words of letters and digits between white space; names carry a mark in front, decimal points one inside."""
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_NAME), F.lit("")), F.lit(_POINT), F.lit(""))
     t = F.regexp_replace(t, r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll})", "$1" + _NAME + "$2")
     t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1" + _POINT + "$2")).otherwise(t)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\x20\x09-\x0D" + _NAME + _POINT + "]+", "")
-    return F.filter(F.split(t, WS_CLASS + "+"), lambda x: x != "")
+    return F.btrim(t, F.lit(WS_CHARS))
 
 
-def template(raw: Column) -> Column:
-    """Template tokens of raw tokens."""
+def raw_tokens(m: Column) -> Column:
+    """Tokens of a marked() text, with their marks."""
+    return F.when(m == "", F.array().cast("array<string>")).otherwise(F.split(m, WS_CLASS + "+"))
+
+
+def template(m: Column) -> Column:
+    """Template tokens of a marked() text."""
+    t = F.when(
+        m.rlike("[0-9]"),
+        F.regexp_replace(F.regexp_replace(m, rf"(?<!{_IN})[0-9]{_IN}*", "<num>"), rf"(<num>{WS_CLASS}+)(?i:{'|'.join(UNITS)})(?!{_IN})", "$1<unit>"),
+    ).otherwise(m)
+    return raw_tokens(F.lower(F.regexp_replace(t, f"{_NAME}{_IN}+", "<name>")))
 
-    def one(x: Column, i: Column) -> Column:
-        number = F.ascii(x).between(48, 57)
-        unit = F.ascii(F.get(raw, i - 1)).between(48, 57) & F.lower(x).isin(UNITS)
-        return (
-            F.when(number, F.lit("<num>"))
-            .when(F.startswith(x, F.lit(_NAME)), F.lit("<name>"))
-            .when(F.coalesce(unit, F.lit(False)), F.lit("<unit>"))
-            .otherwise(F.lower(x))
-        )
 
-    return F.transform(raw, one)
+def plain(m: Column) -> Column:
+    """Lower-case tokens of a marked() text."""
+    return raw_tokens(F.lower(F.replace(m, F.lit(_NAME), F.lit(""))))
 
 
 def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -88,17 +96,45 @@ def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
 
 
 def _tokenized(df: DataFrame, keys: list[Column], text: str) -> DataFrame:
-    out = df.select(*keys, raw_tokens(F.col(text)).alias("_raw"))
-    return out.withColumn("_tokens", template(F.col("_raw")))
+    out = df.select(*keys, marked(F.col(text)).alias("_m"))
+    return out.select(*[c for c in out.columns if c != "_m"], raw_tokens(F.col("_m")).alias("_raw"), template(F.col("_m")).alias("_tokens"))
+
+
+def _pieces(tokens: Column, width: int, step: int) -> Column:
+    n = F.size(tokens)
+    at = F.sequence(F.lit(0), n - width, F.lit(step))
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(width)]))
+    return F.when(n >= width, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def touched(docs: DataFrame, benchmark: DataFrame, short: list[int]) -> DataFrame:
+    """(doc_id, th) of the documents that have a piece of a window in common with the benchmark: all that can match.
+
+    Of each document every STRIDE-th piece of PIECE tokens, as a template and as plain tokens, is looked up among all
+    pieces of the items; any window of WINDOW tokens contains one. Items shorter than a window are looked up whole.
+    """
+
+    def pieces(df: DataFrame, keys: list[Column], step: int) -> DataFrame:
+        m = df.select(*keys, marked(F.col("text")).alias("_m"))
+        both = m.select("*", template(F.col("_m")).alias("_t"), plain(F.col("_m")).alias("_p")).drop("_m")
+        kinds = [_pieces(F.col(c), *at) for c in ("_t", "_p") for at in [(PIECE, step), *((w, 1) for w in short)]]
+        return both.select(*[c for c in both.columns if c not in ("_t", "_p")], F.explode(F.concat(*kinds)).alias("h"))
+
+    asked = cut(pieces(benchmark, [], 1).distinct(), "pieces")
+    of_docs = pieces(docs, [F.col("doc_id"), F.xxhash64("text").alias("th")], STRIDE)
+    return of_docs.join(asked, "h", "left_semi").select("doc_id", "th").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, covered, item_tokens): pairs of a document and an item that it contains."""
     items = cut(_tokenized(benchmark, [F.col("item_id")], "text").withColumn("item_tokens", F.size("_tokens")), "items")
-    short = [r[0] for r in items.filter(F.col("item_tokens").between(1, WINDOW - 1)).select("item_tokens").distinct().collect()]
-    docs_t = _tokenized(docs, [F.col("doc_id"), F.xxhash64("text").alias("th")], "text")
+    short = sorted(r[0] for r in items.filter(F.col("item_tokens").between(1, WINDOW - 1)).select("item_tokens").distinct().collect())
+    found = touched(docs, benchmark, short).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    slim = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    some = slim.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    docs_t = cut(_tokenized(some, [F.col("doc_id"), F.col("th")], "text"), "touched")
     hits = None
-    for width in [WINDOW, *sorted(short)]:
+    for width in [WINDOW, *short]:
         some = items if width == WINDOW else items.filter(F.col("item_tokens") == width)
         asked = windows(some, ["item_id", "item_tokens"], width).select("item_id", "item_tokens", F.col("h").alias("h2"), F.col("at").alias("at2"), F.col("slots").alias("slots2"), F.col("exact").alias("exact2"))
         found = windows(docs_t, ["doc_id", "th"], width).join(asked, F.col("h") == F.col("h2"))
@@ -156,35 +192,37 @@ _CLEAN = r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(reg
          '([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll})', '\1' || chr(57344) || '\2', 'g'),
          '([0-9])[.,]([0-9])', '\1' || chr(57345) || '\2', 'g'),
          '[^\p{L}\p{N}\x20\x09-\x0D\x{E000}\x{E001}]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
-_TOKEN = "CASE WHEN regexp_matches(w, '^[0-9]') THEN '<num>' WHEN w[1] = chr(57344) THEN '<name>' WHEN regexp_matches(prev, '^[0-9]') AND list_contains([{units}], lower(w)) THEN '<unit>' ELSE lower(w) END".format(
+_TOKEN = "CASE WHEN regexp_matches(w, '^[0-9]') THEN '<num>' WHEN w[1] = chr(57344) THEN '<name>' WHEN regexp_matches(ws[i - 1], '^[0-9]') AND list_contains([{units}], lower(w)) THEN '<unit>' ELSE lower(w) END".format(
     units=", ".join(f"'{u}'" for u in UNITS)
 )
 SQL = f"""
-WITH src AS (
-  SELECT 0 AS kind, doc_id AS id, {_CLEAN} AS ws FROM documents
-  UNION ALL SELECT 1, item_id, {_CLEAN} FROM benchmark
-), tok AS (
-  SELECT kind, id, n, i, w, {_TOKEN} AS t FROM (
-    SELECT kind, id, len(ws) AS n, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS prev
-    FROM (SELECT kind, id, ws, unnest(generate_series(1, len(ws))) AS i FROM src))
+WITH marked AS (
+  SELECT 0 AS kind, doc_id AS id, hash(text) AS th, {_CLEAN} AS ws FROM documents
+  UNION ALL SELECT 1, item_id, 0, {_CLEAN} FROM benchmark
+), src AS (
+  SELECT *, len(ws) AS n, list_transform(ws, lambda w, i: {_TOKEN}) AS ts, list_transform(ws, lambda w: lower(replace(w, chr(57344), ''))) AS ps
+  FROM marked
+), widths AS (
+  SELECT 8 AS width UNION SELECT n FROM src WHERE kind = 1 AND n BETWEEN 1 AND 7
 ), win AS (
-  SELECT kind, id, n, i - 1 AS p, list(t) OVER w8 AS ts,
-         count(*) OVER w8 AS c, list_filter(list(CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN t || w END) OVER w8, lambda x: x IS NOT NULL) AS vs
-  FROM tok WINDOW w8 AS (PARTITION BY kind, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
-), ok AS (
-  SELECT * FROM win WHERE c = 8 AND len(vs) * 2 <= 8
+  SELECT kind, id, th, n, width, p, ts[p + 1 : p + width] AS tw, ps[p + 1 : p + width] AS pw,
+         list_filter(list_transform(generate_series(p + 1, p + width), lambda k: CASE WHEN ts[k] IN ('<num>', '<unit>', '<name>') THEN ts[k] || ws[k] END), lambda v: v IS NOT NULL) AS vs
+  FROM (SELECT src.*, width, unnest(generate_series(0, n - width)) AS p FROM src JOIN widths ON n >= width AND (kind = 0 OR width = 8 OR n = width))
+), key AS (
+  SELECT kind, id, th, n, width, p, tw AS k, vs, false AS exact FROM win WHERE len(vs) * 2 <= width
+  UNION ALL SELECT kind, id, th, n, width, p, pw, [], true FROM win WHERE len(vs) > 0
 ), hit AS (
-  SELECT d.id AS doc_id, b.id AS item_id, b.n AS item_tokens, d.p - b.p AS shift, b.p AS j, d.vs AS dv, b.vs AS bv
-  FROM (SELECT * FROM ok WHERE kind = 0) d JOIN (SELECT * FROM ok WHERE kind = 1) b ON d.ts = b.ts
+  SELECT DISTINCT d.id AS doc_id, d.th, b.id AS item_id, b.n AS item_tokens, d.p - b.p AS shift, b.p AS j, b.width, d.exact OR b.exact AS exact, list_zip(b.vs, d.vs) AS vs
+  FROM (SELECT * FROM key WHERE kind = 0) d JOIN (SELECT * FROM key WHERE kind = 1) b ON d.k = b.k
+), torn AS (
+  SELECT doc_id, th, item_id, shift, v[1] AS a FROM (SELECT *, unnest(vs) AS v FROM hit) GROUP BY ALL HAVING count(DISTINCT v[2]) > 1
+), kept AS (
+  SELECT hit.* FROM hit LEFT JOIN (SELECT doc_id, th, item_id, shift, list(a) AS many FROM torn GROUP BY ALL) t USING (doc_id, th, item_id, shift)
+  WHERE len(list_filter(vs, lambda v: v[1] <> v[2])) = 0 OR many IS NULL OR len(list_filter(vs, lambda v: list_contains(many, v[1]))) = 0
 ), cov AS (
-  SELECT doc_id, item_id, item_tokens, shift, count(DISTINCT q) AS covered
-  FROM (SELECT *, unnest([j, j+1, j+2, j+3, j+4, j+5, j+6, j+7]) AS q FROM hit) GROUP BY ALL
-), map AS (
-  SELECT doc_id, item_id, shift, count(DISTINCT a) AS na, count(DISTINCT b) AS nb, count(DISTINCT a || chr(57346) || b) AS nab
-  FROM (SELECT doc_id, item_id, shift, unnest(bv) AS a, unnest(dv) AS b FROM hit) GROUP BY ALL
+  SELECT doc_id, th, item_id, item_tokens, shift, count(DISTINCT q) AS covered, count(DISTINCT q) FILTER (NOT exact) AS by_template
+  FROM (SELECT *, unnest(generate_series(j, j + width - 1)) AS q FROM kept) GROUP BY ALL
 )
-SELECT doc_id, item_id, max(covered)::BIGINT AS covered, max(item_tokens)::BIGINT AS item_tokens
-FROM cov LEFT JOIN map USING (doc_id, item_id, shift)
-WHERE covered >= least(13, item_tokens) AND (nab IS NULL OR (na = nab AND nb = nab))
-GROUP BY doc_id, item_id
+SELECT doc_id, item_id, coalesce(max(by_template) FILTER (by_template >= least({MIN_COVERED}, item_tokens)), max(covered))::BIGINT AS covered, max(item_tokens)::BIGINT AS item_tokens
+FROM cov WHERE covered >= least({MIN_COVERED}, item_tokens) GROUP BY doc_id, th, item_id
 """
