@@ -136,11 +136,16 @@ def filter_documents(spark: SparkSession, docs: DataFrame, host: str = "source")
     """docs without the rows that the base rules, or the rules of a rejected host, fail; columns as they were."""
     counted, names = with_counts(docs)
     base, soft, key = (fresh(docs, x) for x in ("_base", "_soft", "_host"))
-    flagged = counted.withColumn(base, base_failed(names)).withColumn(soft, soft_failed(names)).drop(*names.values())
-    flags = flagged.select(F.col(host).alias("host"), (F.col(base) | F.col(soft)).alias("any_failed"))
-    verdicts = host_verdicts(flags, "host", "any_failed").select(F.col("host").alias(key), F.col("rejected").alias(key + "r"))
-    kept = flagged.join(verdicts, F.col(host).eqNullSafe(F.col(key)))
-    return kept.filter(~F.col(base) & ~(F.col(key + "r") & F.col(soft))).select(*docs.columns)
+    of = lambda c: F.col(f"`{c}`")
+    flagged = counted.withColumn(base, base_failed(names)).withColumn(soft, soft_failed(names))
+    # Counted once: written with the flags, without what base rules reject anyway.
+    flagged = flagged.select(*[F.when(~F.col(base), of(c)).alias(c) for c in docs.columns], of(host).alias(key), base, soft)
+    flagged = cut(flagged, "flagged")
+    flags = flagged.select(F.col(key).alias("host"), (F.col(base) | F.col(soft)).alias("any_failed"))
+    # As a table its size is known, so Spark broadcasts it only where it is small.
+    verdicts = cut(host_verdicts(flags, "host", "any_failed").select(F.col("host").alias(key + "v"), F.col("rejected").alias(key + "r")), "verdicts")
+    kept = flagged.filter(~F.col(base)).join(verdicts, F.col(key).eqNullSafe(F.col(key + "v")))
+    return kept.filter(~(F.col(key + "r") & F.col(soft))).select(*[of(c) for c in docs.columns])
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
