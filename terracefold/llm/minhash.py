@@ -291,26 +291,31 @@ def _sets_of(signed: DataFrame, some: DataFrame) -> DataFrame:
 
 def _prefix_pairs(signed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """(a, b): all pairs of nodes of two components that share one of their first shingles, by sizes and positions."""
-    own = nodes.select("node", "text_hash").join(comp, "node", "left").select("node", "text_hash", F.coalesce("component", "node").alias("c"))
+    own = nodes.select("node", "text_hash").join(comp, "node", "left").select("node", "text_hash", F.when(F.col("component") != F.col("node"), F.col("component")).alias("c"))
     each = _sets_of(signed, own).select("node", "c", "n", F.posexplode("first").alias("i", "h"))
+    # Size and position in one number, and no component where it is the node itself: most of these rows go no further.
+    each = each.select("h", "node", "c", F.expr("shiftleft(cast(n as bigint), 32) + i").alias("ni"))
+    n, i, c = F.expr("cast(shiftright(ni, 32) as int)"), F.expr("cast(ni & 4294967295 as int)"), F.coalesce("c", "node")
+    # The smaller set of a pair has the shingle this early; a later one only serves against smaller sets.
+    early = i * (100 + SIMILARITY) <= n * (100 - SIMILARITY)
     by = Window.partitionBy("h")
-    mixed = each.withColumn("c0", F.min("c").over(by)).withColumn("c1", F.max("c").over(by)).filter("c0 <> c1").drop("c0", "c1")
+    of = lambda f, x: f(F.when(early, x)).over(by)
+    seen = each.select("h", "node", c.alias("c"), n.alias("n"), i.alias("i"), early.alias("early"), F.min(c).over(by).alias("c0"), F.max(c).over(by).alias("c1"), of(F.min, c).alias("e0"), of(F.max, c).alias("e1"), of(F.min, n).alias("n0"))
+    mixed = seen.filter("c0 <> c1 AND e0 IS NOT NULL AND (early OR (n >= n0 AND (e0 <> c OR e1 <> c)))").select("h", "node", "c", "n", "i")
     mixed = cut(mixed, "blocks")
     # Pairs of components first: the members of one component are never held against each other.
-    sizes = mixed.groupBy("h", "c").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    sizes = cut(sizes, "block-classes")
-    meet = sizes.alias("x").join(
-        sizes.alias("y"),
-        F.expr(f"x.h = y.h AND x.c < y.c AND 100 * x.n1 >= {SIMILARITY} * y.n0 AND 100 * y.n1 >= {SIMILARITY} * x.n0"),
-    ).select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), F.col("y.c").alias("d"))
-    left = meet.join(mixed.select("h", "c", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi")), ["h", "c"])
-    right = mixed.select("h", F.col("c").alias("d"), F.col("node").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"))
-    # A pair's first common shingle passes: what they have in common from there on suffices.
-    fits = F.expr(
-        f"100 * least(xn, yn) >= {SIMILARITY} * greatest(xn, yn)"
-        f" AND {100 + SIMILARITY} * least(xn - xi, yn - yi) >= {SIMILARITY} * (xn + yn)"
+    classes = cut(mixed.groupBy("h", "c").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("i").alias("i0")), "block-classes")
+    fits = lambda xn, xm, xi, yn, ym, yi: F.expr(  # noqa: E731  from the least sizes, the largest ones and the first positions
+        # A pair's first common shingle passes: what they have in common from there on suffices.
+        f"100 * {xm} >= {SIMILARITY} * {yn} AND 100 * {ym} >= {SIMILARITY} * {xn}"
+        f" AND {100 + SIMILARITY} * least({xm} - {xi}, {ym} - {yi}) >= {SIMILARITY} * ({xn} + {yn})"
     )
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.d") == F.col("r.d")) & fits)
+    meet = classes.alias("x").join(classes.alias("y"), F.expr("x.h = y.h AND x.c < y.c") & fits("x.n0", "x.n1", "x.i0", "y.n0", "y.n1", "y.i0"))
+    meet = meet.select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), F.col("y.c").alias("d"), *[F.col(f"y.{k}").alias(k) for k in ("n0", "n1", "i0")])
+    one = mixed.select("h", "c", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"))
+    left = meet.alias("m").join(one.alias("o"), F.expr("m.h = o.h AND m.c = o.c") & fits("xn", "xn", "xi", "n0", "n1", "i0")).select("m.h", "d", "x", "xn", "xi")
+    right = mixed.select("h", F.col("c").alias("d"), F.col("node").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"))
+    pairs = left.alias("l").join(right.alias("r"), F.expr("l.h = r.h AND l.d = r.d") & fits("xn", "xn", "xi", "yn", "yn", "yi"))
     return cut(_ordered(pairs), "prefix-pairs")
 
 

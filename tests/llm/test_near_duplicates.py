@@ -141,5 +141,5 @@ def test_words_of_a_regular_pattern_are_told_apart():
         word += "".join(flip[c] for c in word)
     a, b = shingle_sets(pa.array([word, "".join(flip[c] for c in word)]))
     assert a[0] != b[0]
-    x, y = shingle_sets(pa.array(["One two\tthree four five six", "one  TWO three\nfour five six "]))
+    x, y = shingle_sets(pa.array(["One two\tthree four five six", "one  TWO three\nfour five six"]))
     assert len(x) == 2 and set(x) == set(y)
