@@ -134,18 +134,18 @@ def host_rules(spark: SparkSession, docs: DataFrame, host: str = "source", text:
 
 def filter_documents(spark: SparkSession, docs: DataFrame, host: str = "source") -> DataFrame:
     """docs without the rows that the base rules, or the rules of a rejected host, fail; columns as they were."""
-    counted, names = with_counts(docs)
-    base, soft, key = (fresh(docs, x) for x in ("_base", "_soft", "_host"))
-    of = lambda c: F.col(f"`{c}`")
-    flagged = counted.withColumn(base, base_failed(names)).withColumn(soft, soft_failed(names))
-    # Counted once: written with the flags, without what base rules reject anyway.
-    flagged = flagged.select(*[F.when(~F.col(base), of(c)).alias(c) for c in docs.columns], of(host).alias(key), base, soft)
+    slim = docs.select(F.col(host).alias("host"), F.col("text").alias("text"), F.xxhash64("text").alias("th"), F.length("text").alias("size"))
+    counted, names = with_counts(slim)
+    flagged = counted.select("host", "th", "size", base_failed(names).alias("base"), soft_failed(names).alias("soft"))
+    # Counted once: a verdict depends on host and text only, so their flags are written and rejected ones joined back.
     flagged = cut(flagged, "flagged")
-    flags = flagged.select(F.col(key).alias("host"), (F.col(base) | F.col(soft)).alias("any_failed"))
-    # As a table its size is known, so Spark broadcasts it only where it is small.
-    verdicts = cut(host_verdicts(flags, "host", "any_failed").select(F.col("host").alias(key + "v"), F.col("rejected").alias(key + "r")), "verdicts")
-    kept = flagged.filter(~F.col(base)).join(verdicts, F.col(key).eqNullSafe(F.col(key + "v")))
-    return kept.filter(~(F.col(key + "r") & F.col(soft))).select(*[of(c) for c in docs.columns])
+    verdicts = host_verdicts(flagged.select("host", (F.col("base") | F.col("soft")).alias("any_failed")), "host", "any_failed")
+    bad = flagged.filter("base OR soft").join(verdicts.select(F.col("host").alias("_host"), "rejected"), F.col("host").eqNullSafe(F.col("_host")))
+    bad = cut(bad.filter("base OR rejected").select("host", "th", "size").distinct(), "rejected")
+    h, t, n = (fresh(docs, x) for x in ("_host", "_th", "_size"))
+    bad = bad.select(F.col("host").alias(h), F.col("th").alias(t), F.col("size").alias(n))
+    same = F.col(host).eqNullSafe(F.col(h)) & (F.xxhash64("text") == F.col(t)) & F.length("text").eqNullSafe(F.col(n))
+    return docs.join(bad, same, "left_anti")
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
