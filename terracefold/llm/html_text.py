@@ -1,15 +1,18 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of tags and words. Words score positive and tags negative, each by a weight that depends on
-the element around it; the weights are log odds of content against boilerplate, learned from labelled pages. A linear
-scan finds the contiguous region with the largest sum. Inside it, elements whose own words score negative (navigation,
-notices, forms, comments of readers and the like) are left out, and block elements end blocks.
-
-Where a page marks its article (article or main elements), the region is searched inside the largest of these.
-
-Defined results: a null or empty page has an empty text. Character references are decoded as HTML5 says, also without
-a semicolon. White space is that of Python's str.split(). Cut-off pages end where they end; an unfinished tag is no
-text. Repeated rows give repeated results; empty tables give none.
+A page becomes a sequence of tags and words. A word scores by where it stands: the elements around it, and the names in
+their class, id, role and aria-label attributes. The weights are those of a logistic regression on labelled pages
+(labelled_pages), so words of content score positive and words of menus, notices, comments of readers and the like
+negative. Start tags score negative, by how much denser they are in the pages' other parts than in content. A linear scan finds
+the contiguous region with the largest sum; in it, words that score negative are left out, and block elements end blocks.
+A stretch that is left out scores as one tag, so a long aside does not cut an article off.
+
+Every page goes the same way. That an article or main element exists on a page is a feature of the text beside it.
+
+Defined results: a null or empty page has an empty text, and so has one without a word that scores positive. Character
+references are decoded as HTML5 says, also without a semicolon. White space is that of Python's str.split(). Cut-off pages
+end where they end; an unfinished tag or comment is no text. Scripts, styles and other raw text end at their end tag
+whatever they contain; quotes count in attribute values only. Repeated rows give repeated results; empty tables give none.
 """
 
 from __future__ import annotations
@@ -19,139 +22,159 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import labelled_pages
 from .common import table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+#: Quotes have a meaning after "=" only; possessive, so that no page takes more than one pass.
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+|=)*+)(?:>|\Z)"
 )
-_MARK = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_OTHER = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)
+_NAMES = re.compile(r"(?:^|[\s/\"'])(class|id|role|aria-label|keep|drop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/>]|$))", re.I)
 #: Fixed lists: elements without end tags, elements whose content is no text, block elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "head"}
-BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-#: Elements that end an open paragraph.
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "noembed", "noframes", "xmp"}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: Fixed lists: elements that end an open paragraph; elements that end an open one of the first kind up to the second.
 _ENDS_P = BLOCK - {"br", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "body", "html"}
-#: Fixed list: words of class, id and role attributes that set parts of a page apart.
-MARKS = ["ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "replies", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "consent", "respond", "reactions", "discussion", "byline", "alert"]
-_MARKED = set(MARKS)
-
-#: Labelled pages: (element with marks, words that are content, words that are not). Made for training, by hand.
-LABELLED = [
-    [("nav", 0, 14), ("h1", 9, 0), ("p", 160, 0), ("p", 90, 0), ("aside", 0, 40), ("footer", 0, 18)],
-    [("header", 0, 12), ("div.menu", 0, 20), ("p", 75, 0), ("li", 60, 0), ("blockquote", 30, 0), ("div.comments", 0, 120), ("footer", 0, 9)],
-    [("div.cookie", 0, 25), ("div.ad", 0, 8), ("h1", 6, 0), ("h2", 12, 0), ("p", 300, 0), ("td", 45, 4), ("form", 0, 15)],
-    [("ul.nav", 0, 16), ("div", 120, 10), ("section.related", 0, 35), ("p", 80, 3), ("div.share", 0, 6), ("button", 0, 3)],
-    [("div.sidebar", 0, 60), ("pre", 55, 0), ("figcaption", 14, 1), ("p", 140, 2), ("div.newsletter", 0, 22), ("div.notice", 0, 18)],
-    [("a", 8, 30), ("b", 20, 1), ("em", 15, 0), ("dd", 20, 1), ("dt", 8, 1), ("div.promo", 0, 14), ("label", 0, 6), ("select", 0, 12)],
-]
-#: Tags cost this many words.
-TAG_COST = 0.6
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select"})}
+_PLAIN = {"html", "body", "head"}
+_COPYRIGHT = re.compile(r"©|&copy|\bcopyright\b", re.I)
 
 
-@lru_cache(1)
-def weights() -> dict[str, float]:
-    """Log odds of content for each element, and for each mark under '.': learned with one added word on both sides."""
-    good: dict[str, int] = {}
-    bad: dict[str, int] = {}
-    for page in LABELLED:
-        for element, content, other in page:
-            tag, _, mark = element.partition(".")
-            for key in ["." if mark else tag]:
-                good[key] = good.get(key, 0) + content
-                bad[key] = bad.get(key, 0) + other
-    return {k: math.log((good[k] + 1) / (bad[k] + 1)) for k in good}
-
-
-_APART = {"nav", "aside", "footer", "form", "button", "select", "option", "label", "menu", "dialog", "fieldset", "input"}
-
-
-def _weight(tag: str, attrs: str, above: float, inside: bool) -> float:
-    """Weight of words right inside this element; a negative one holds for all that it contains."""
-    if above < 0:
-        return above
-    w = weights()
-    if attrs and tag not in ("html", "body", "article", "main"):
-        for m in _MARK.finditer(attrs):
-            if not _MARKED.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-                return w["."]
-    if tag == "header" and inside:  # an article's own heading
-        return above
-    if tag in _APART or tag == "header":
-        return min(w.get(tag, w["."]), -1.0)
-    return above
-
-
-def _scan(page: str):
-    """Rows (is_text, score, text, block number, inside article number) in page order."""
-    out, stack, block = [], [("", 1.0, 0)], 0
-    articles = 0
-    at, raw = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+@lru_cache(100_000)
+def _features(tag: str, attrs: str) -> tuple[str, ...]:
+    """Features of an element: its tag, the names in its attributes, and the parts of these names without plural s."""
+    out = [] if tag in _PLAIN else [f"<{tag}"]
+    for kind, *values in _NAMES.findall(attrs) if attrs else ():
+        if kind.lower() in ("keep", "drop"):
             continue
-        if m.start() > at and raw is None:
-            _text(out, page[at : m.start()], stack[-1], block)
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        for name in "".join(values).lower().split():
+            parts = [p.removesuffix("s") if len(p) > 3 else p for p in re.split(r"[^a-z]+", name) if p]
+            out += [f"={parts[0]}"] if len(parts) == 1 else [f"-{p}" for p in parts]
+    return tuple(dict.fromkeys(out))
+
+
+class _Open:
+    """An open element: what is around its text."""
+
+    __slots__ = ("tag", "features", "sum", "block", "article", "label")
+
+    def __init__(self, tag, features, total, block, article, label):
+        self.tag, self.features, self.sum, self.block, self.article, self.label = tag, features, total, block, article, label
+
+
+def scan(page: str, weights: dict[str, float], labels: bool = False):
+    """(text, block number, open element) for each run of text, (None, 0, open element) for each start tag, in page order."""
+    out: list[tuple] = []
+    stack = [_Open("", frozenset(), 0.0, "body", False, False)]
+    count: dict[str, int] = {}
+    block = at = 0
+    size = len(page)
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            count[x.tag] -= 1
+        del stack[k:]
+
+    def close_one_of(tags, within) -> None:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in tags:
+                return close(k)
+            if stack[k].tag in within:
+                return None
+
+    begin = 0
+    while at < size:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        m = _TAG.match(page, at) or _OTHER.match(page, at)
+        if m is None:  # a "<" that is text
+            at += 1
             continue
-        closing = bool(m[1])
-        if raw is not None:
-            if closing and tag == raw:
-                raw = None
+        if m.start() > begin:
+            out.append((page[begin : m.start()], block, stack[-1]))
+        at = begin = m.end()
+        if m.re is _OTHER:
             continue
-        out.append((False, -TAG_COST, "", block, stack[-1][2]))
+        tag = m[2].lower()
         if tag in BLOCK:
             block += 1
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if m[1]:
+            if count.get(tag):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag == "head":
-                body = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
-                at = len(page) if body is None else body.start()
-            else:
-                at = len(page) if end is None else end.end()
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = begin = size if end is None else end.end()
             continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if tag == "li":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "li":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol"):
-                    break
+        if tag in _ENDS_P and count.get("p"):
+            close_one_of({"p"}, BLOCK)
+        if tag in _ENDS:
+            close_one_of(*_ENDS[tag])
         if tag in VOID or m[0].endswith("/>") and tag not in BLOCK:
+            out.append((None, 0, stack[-1]))
             continue
-        _, above, article = stack[-1]
-        w = _weight(tag, m[3] or "", above, article > 0)
-        if tag in ("article", "main") and w > 0:
-            if not article:
-                articles += 1
-                article = articles
-        stack.append((tag, w, article))
-    if at < len(page) and raw is None:
-        _text(out, page[at:], stack[-1], block)
+        top = stack[-1]
+        new = [f for f in _features(tag, m[3]) if f not in top.features]
+        inner = tag if tag in BLOCK and tag not in _PLAIN else top.block
+        total = top.sum + sum(weights.get(f, 0.0) for f in new)
+        label = top.label
+        if labels:
+            for kind, *_ in _NAMES.findall(m[3]):
+                label = {"keep": True, "drop": False}.get(kind.lower(), label)
+        stack.append(_Open(tag, top.features.union(new) if new else top.features, total, inner, top.article or tag in ("article", "main"), label))
+        count[tag] = count.get(tag, 0) + 1
+        out.append((None, 0, stack[-1]))
+    if begin < size:
+        out.append((page[begin:], block, stack[-1]))
     return out
 
 
-def _text(out: list, piece: str, top, block: int) -> None:
-    if piece:
-        out.append((True, top[1] * (len(piece.split()) or 0), piece, block, top[2]))
+def _own(text: str, top: _Open, article: bool) -> list[str]:
+    """Features of a run of text besides those of the elements around it."""
+    out = [f"in {top.block}"]
+    if article and not top.article:
+        out.append("beside an article")
+    if not top.article and len(text) < 400 and _COPYRIGHT.search(text):
+        out.append("copyright")
+    return out
+
+
+@lru_cache(1)
+def weights() -> tuple[dict[str, float], float]:
+    """Log odds of content by feature ("" is the bias), and the score of a tag, learned from the labelled pages."""
+    rows, labels, sizes, tags = [], [], [], {True: 1, False: 1}
+    for page in labelled_pages.pages():
+        found = scan(page, {}, labels=True)
+        article = any(t is not None and top.article for t, _, top in found)
+        for text, _, top in found:
+            if text is None:
+                tags[top.label] += 1
+            elif n := sum(int(x) for x in re.findall(r"[0-9]+", text)) + ("copyright" in text):
+                rows.append({"", *top.features, *_own(text, top, article)})
+                labels.append(top.label)
+                sizes.append(n)
+    names = sorted(set().union(*rows))
+    place = {f: k for k, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for k, r in enumerate(rows):
+        x[k, [place[f] for f in r]] = 1
+    y, w = np.array(labels, float), np.sqrt(np.array(sizes, float))
+    w /= w.sum()
+    b, pace = np.zeros(len(names)), np.full(len(names), 1e-8)
+    for _ in range(3000):
+        g = x.T @ (w * (1 / (1 + np.exp(-(x @ b))) - y)) + 2e-5 * b
+        pace += g * g
+        b -= 0.3 * g / np.sqrt(pace)
+    words = {kind: sum(n for n, label in zip(sizes, labels) if label == kind) for kind in (True, False)}
+    return dict(zip(names, b.tolist())), -math.log((tags[False] / words[False]) / (tags[True] / words[True]))
 
 
 def best_region(scores) -> tuple[int, int]:
@@ -168,26 +191,34 @@ def best_region(scores) -> tuple[int, int]:
 
 def main_text(page: str | None) -> str:
     """The page's main text: blocks joined by newlines."""
-    rows = _scan(page or "")
-    inside: dict[int, float] = {}
-    for is_text, score, _, _, article in rows:
-        if article and is_text and score > 0:
-            inside[article] = inside.get(article, 0) + score
-    if inside:
-        largest = max(inside, key=lambda k: (inside[k], -k))
-        rows = [r for r in rows if r[4] == largest]
-    # Each element outside the region is judged by words; inside the region negative parts are left out.
-    start, stop = (0, len(rows)) if inside else best_region([r[1] for r in rows])
+    by, tag_score = weights()
+    rows = scan(page or "", by)
+    article = any(t is not None and top.article and top.sum > 0 for t, _, top in rows)
+    worth, scores, out = [], [], False
+    for text, _, top in rows:
+        each = by[""] + top.sum
+        if text is not None:
+            each += sum(by.get(f, 0.0) for f in _own(text, top, article))
+        words = text is not None and len(text.split())
+        worth.append(each if text is not None else 0.0)
+        if each > 0:
+            scores.append(tag_score if text is None else each * words)
+            out = out and not words
+        else:
+            scores.append(0.0 if out or text is not None and not words else tag_score)
+            out = out or text is None or bool(words)
+    start, stop = best_region(scores)
     blocks: list[list[str]] = []
     last = None
-    for is_text, score, text, block, _ in rows[start:stop]:
-        if not is_text or score < 0:
+    for k in range(start, stop):
+        text, block, _ = rows[k]
+        if text is None or worth[k] <= 0:
             continue
         if block != last:
             blocks.append([])
             last = block
-        blocks[-1].append(text)
-    joined = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
+        blocks[-1].append(html.unescape(text))
+    joined = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(b for b in joined if b)
 
 
