@@ -10,7 +10,8 @@ belong to (WARC-Segment-Origin-ID), put in order of their numbers, checked again
 body's chunks decoded. Only segmented records are shuffled.
 
 Defined results: a null html is an empty payload, a null url an empty target. Rows with equal page_id and payload
-give a record each, or one between them where it is segmented. A null page_id is the least. Broken archives (missing segments, wrong length or framing) raise.
+give a record each. A null page_id is the least. Records of other types (warcinfo, request, metadata) are skipped;
+a revisit of a record that no archive holds has a null page and length. Broken archives (missing segments, wrong length or framing) raise.
 """
 
 from __future__ import annotations
@@ -71,21 +72,22 @@ def records(pages: DataFrame) -> DataFrame:
         body.alias("html"),
         F.octet_length(body).cast("long").alias("bytes"),
         base32_sha1(body).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),  # of a row of a file always the same one, also if a task runs again
     )
-    latest = src.filter(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("latest"))
+    latest = src.filter(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("m"))
+    latest = latest.select("digest", F.col("m.page_id").alias("latest"), F.col("m.row").alias("latest_row"))
     src = src.join(latest.withColumnRenamed("digest", "d2"), (F.col("digest") == F.col("d2")) & (F.col("bytes") >= MIN_REVISIT_BYTES), "left")
     revisit = F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
-    key = lambda page: _id(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("null")), F.col("digest")))
+    key = lambda row: _id(F.concat_ws("|", row.cast("string"), F.col("digest")))
     kind = F.when(revisit, "revisit").otherwise("response")
     block = F.when(revisit, F.lit(_HTTP + _END)).otherwise(F.concat(F.lit(_HTTP + _END), _chunked(F.col("html"))))
     src = src.select(
         kind.alias("kind"),
-        key(F.col("page_id")).alias("id"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), key(F.col("latest")), F.lit("\r\nX-Refers-To-Page: "), F.col("latest").cast("string"))).otherwise("").alias("refers"),
+        key(F.col("row")).alias("id"),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), key(F.col("latest_row")))).otherwise("").alias("refers"),
         F.concat(
             F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"),
             F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-            F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
             F.coalesce(F.concat(F.lit("\r\nX-Page: "), F.col("page_id").cast("string")), F.lit("")),
         ).alias("common"),
         block.alias("block"),
@@ -128,8 +130,8 @@ def _walk(data: bytes):
         at = stop + 4
 
 
-_PART = "origin string, number int, total long, type string, page_id long, refers_to long, url string, digest string, length long, block binary, payload binary"
-_PART_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+_PART = "origin string, number int, total long, type string, page_id long, refers string, url string, digest string, length long, block binary, payload binary"
+_PART_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
 _PART_NAMES = [x.split()[0] for x in _PART.split(", ")]
 
 
@@ -146,12 +148,15 @@ def _parts(payloads: bool):
             for raw in batch.column(0):
                 rows = []
                 for h, block in _walk(gzip.decompress(raw.as_py())):
-                    kind, digest, part = h["warc-type"], h.get("warc-payload-digest", "")[5:], number(h.get("warc-segment-number"))
-                    origin, length, payload = h.get("warc-segment-origin-id", h["warc-record-id"]), number(h.get("x-payload-length")), None
+                    kind, digest, part = h["warc-type"], h.get("warc-payload-digest", ""), number(h.get("warc-segment-number"))
+                    if kind not in ("response", "revisit", "continuation"):
+                        continue
+                    digest = digest[5:] if digest.startswith("sha1:") else ""
+                    origin, length, payload = h.get("warc-segment-origin-id", h["warc-record-id"]), None, None
                     if part is None:
-                        length, payload = finished(kind, digest, length, block)
+                        length, payload, digest = finished(kind, digest, block)
                         block = None
-                    rows.append((origin, part, number(h.get("warc-segment-total-length")), kind, number(h.get("x-page")), number(h.get("x-refers-to-page")), h.get("warc-target-uri"), digest, length, block, payload if payloads else None))
+                    rows.append((origin, part, number(h.get("warc-segment-total-length")), kind, number(h.get("x-page")), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, length, block, payload if payloads else None))
                     if len(rows) >= 500:
                         yield _batch(rows, _PART_KINDS, _PART_NAMES)
                         rows = []
@@ -160,15 +165,16 @@ def _parts(payloads: bool):
     return run
 
 
-def finished(kind: str, digest: str, length: int, block: bytes) -> tuple[int, bytes | None]:
-    """Length and payload of a whole block; a revisit has only the length that it states."""
+def finished(kind: str, digest: str, block: bytes) -> tuple[int | None, bytes | None, str]:
+    """Length, payload and digest of a whole block; a revisit has only the digest that it states."""
     if kind == "revisit":
-        return length, None
+        return None, None, digest
     head, _, body = block.partition(b"\r\n\r\n")
     payload = unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body
-    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+    real = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if digest and real != digest:
         raise ValueError("a payload's digest differs from the record's")
-    return len(payload), payload
+    return len(payload), payload, real
 
 
 def unchunk(body: bytes) -> bytes:
@@ -192,10 +198,11 @@ def _finish(payloads: bool):
         for batch in batches:
             place = batch.schema.get_field_index
             columns = list(batch.columns)
-            done = [finished("response", d.as_py(), 0, b.as_py()) for d, b in zip(columns[place("digest")], columns[place("block")])]
-            columns[place("length")] = pa.array([n for n, _ in done], pa.int64())
+            done = [finished("response", d.as_py(), b.as_py()) for d, b in zip(columns[place("digest")], columns[place("block")])]
+            columns[place("length")] = pa.array([n for n, _, _ in done], pa.int64())
+            columns[place("digest")] = pa.array([d for _, _, d in done], pa.string())
             columns[place("block")] = pa.nulls(len(done), pa.binary())
-            columns[place("payload")] = pa.array([p for _, p in done], pa.binary()) if payloads else pa.nulls(len(done), pa.binary())
+            columns[place("payload")] = pa.array([p for _, p, _ in done], pa.binary()) if payloads else pa.nulls(len(done), pa.binary())
             yield pa.RecordBatch.from_arrays(columns, _PART_NAMES)
 
     return run
@@ -212,7 +219,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         .agg(
             F.sort_array(F.collect_set(F.struct("number", "block"))).alias("s"),
             F.max("total").alias("total"),
-            F.max(F.when(F.col("number") == 1, F.struct("type", "page_id", "refers_to", "url", "digest", "length"))).alias("h"),
+            F.max(F.when(F.col("number") == 1, F.struct("type", "page_id", "refers", "url", "digest", "length"))).alias("h"),
         )
     )
     block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
@@ -223,7 +230,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         F.lit(None).cast("binary").alias("payload"),
     )
     done = parts.filter("number IS NULL").unionByName(joined.select(*_PART_NAMES).mapInArrow(_finish(payloads), _PART))
-    return done.select("page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "url", "payload")
+    done = done.select("page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "url", "payload", "origin", "refers")
+    # A revisit has its page and length from the record that it refers to; that one may be in any archive.
+    own = done.filter("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    named = own.select(F.col("origin").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"))
+    again = done.filter("record_type = 'revisit'").join(named, F.col("refers") == F.col("_id"), "left")
+    again = again.withColumn("refers_to", F.col("_page")).withColumn("payload_bytes", F.col("_bytes"))
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+    return own.select(*out).unionByName(again.select(*out))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
