@@ -2,8 +2,9 @@
 
 Numbers (cards, phones, social security numbers, IP addresses, IBANs), dates, e-mail addresses and secrets are found
 by pattern and validated; their digits, letters or days are permuted by a Feistel network under a key, inside their
-own format: separators, case and lengths stay, card numbers keep whether their checksum holds, octets stay octets,
-days stay days of the calendar. Equal values get equal pseudonyms in every document, and different ones different.
+own format: separators, case, lengths and leading zeros stay, card and account numbers keep whether their checksum holds,
+octets stay octets, days stay days of their part of the calendar (before 1900, 1900 to 2099, later). Equal values get
+equal pseudonyms in every document, and different ones different. Letters outside A-Z and Latin-1 stay.
 
 Defined results: a null text stays null, an empty one empty. Texts are scanned whole. What fails validation as one
 kind may still be another (a date-like group of digits in a long number is part of the number). Repeated rows give
@@ -25,13 +26,14 @@ from .common import fresh, table
 
 ROUNDS = 10
 DEFAULT_KEY = b"replace this key in production"
-_DAY0 = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2099, 12, 31).toordinal() - _DAY0 + 1
+#: Days stay in their part of the calendar: (first, after the last) as ordinals.
+_ERAS = [tuple(datetime.date(y, 1, 1).toordinal() for y in span) for span in ((1000, 1900), (1900, 2100), (2100, 9999))]
 
 _NUMBERS = re.compile(
     r"""(?<![\w])(?:
       (?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})
     | (?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\.\d)
+    | (?P<ip6>(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4})(?!:)
     | (?P<ssn>\d{3}-\d{2}-\d{4})
     | (?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ -]?\(?\d{1,4}\)?(?:[ -]?\d{2,4}){2,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})
     | (?P<secret>[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})
@@ -41,7 +43,7 @@ _NUMBERS = re.compile(
     re.X,
 )
 #: Holds in every text that has an address or a match of _NUMBERS; \d takes all decimal digits, as there.
-_QUICK = re.compile(r"\d[\d.]|@|[0-9a-fA-F]{32}|sk-|gh[pousr]_|AKIA|ASIA|\+\d|\d[ -]\d")
+_QUICK = re.compile(r"\d[\d.]|:[0-9a-fA-F]{1,4}:|@|[0-9a-fA-F]{32}|sk-|gh[pousr]_|AKIA|ASIA|\+\d|\d[ -]\d")
 _LOCAL = re.compile(r"[\w.+%-]+\Z")
 _HOST = re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
 
@@ -89,6 +91,7 @@ class Feistel:
         return "".join(reversed(out))
 
 
+_ACCENTS = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _LOWER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 
 
@@ -118,14 +121,13 @@ def _is_digit(c: str) -> bool:
 
 
 def _mixed(f: Feistel, kind: str, text: str) -> str:
-    """Digits and letters each permuted among their own kind; letters outside A-Z become keyed ones."""
-    ascii_letters = [c for c in text.lower() if c in _LOWER]
-    digits = [c for c in text if c in _DIGITS]
-    if ascii_letters:
-        text = _fill(text, lambda c: c.lower() in _LOWER and c.lower() != "", f.string(kind, "".join(ascii_letters), _LOWER))
-    if digits:
-        text = _fill(text, _is_digit, f.string(kind, "".join(digits), _DIGITS))
-    return "".join(_LOWER[f._f(kind, k, 99, ord(c)) % 26] if ord(c) > 127 else c for k, c in enumerate(text))
+    """Digits, letters of A-Z and accented ones of Latin-1 each permuted among their own kind; other characters stay."""
+    for part, alphabet in (("", _LOWER), ("accents", _ACCENTS), ("digits", _DIGITS)):
+        chosen = lambda c: len(c.lower()) == 1 and c.lower() in alphabet and c.lower().upper() in (c, c.upper())  # noqa: B023, E731
+        own = "".join(c.lower() for c in text if chosen(c))
+        if own:
+            text = _fill(text, chosen, f.string(kind + part, own, alphabet))
+    return text
 
 
 def _card(f: Feistel, text: str) -> str:
@@ -143,17 +145,48 @@ def _date(f: Feistel, text: str) -> str | None:
     orders = [(0, 1, 2)] if len(parts[0]) == 4 else ([(2, 0, 1), (2, 1, 0)] if "/" in text else [(2, 1, 0), (2, 0, 1)])
     for y, m, d in orders:
         try:
-            day = datetime.date(int(parts[y]), int(parts[m]), int(parts[d])).toordinal() - _DAY0
+            day = datetime.date(int(parts[y]), int(parts[m]), int(parts[d])).toordinal()
         except ValueError:
             continue
-        if 0 <= day < _DAYS:
-            new = datetime.date.fromordinal(f.below("date", day, _DAYS) + _DAY0)
+        start, stop = next((era for era in _ERAS if era[0] <= day < era[1]), (0, 0))
+        # One digit stays one digit, and beside one a second number of two digits has no leading zero.
+        short = {k for k in (m, d) if len(parts[k]) == 1}
+        while start:
+            day = start + f.below("date", day - start, stop - start)
+            new = datetime.date.fromordinal(day)
             values = {y: new.year, m: new.month, d: new.day}
-            seps = re.findall(r"[./-]", text)
-            return f"{values[0]:02d}{seps[0]}{values[1]:02d}{seps[1]}{values[2]:02d}"
+            if not short or all((values[k] < 10) == (k in short) for k in (m, d)):
+                seps = re.findall(r"[./-]", text)
+                shown = [f"{values[k]:0{len(parts[k])}d}" for k in range(3)]
+                return f"{shown[0]}{seps[0]}{shown[1]}{seps[1]}{shown[2]}"
     return None
 
 
+def _iban_rest(bare: str) -> int:
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def iban_valid(bare: str) -> bool:
+    return 2 <= int(bare[2:4]) <= 98 and _iban_rest(bare) == 1
+
+
+def _iban(f: Feistel, text: str) -> str:
+    """Country and form stay; a valid number stays valid, by new check digits, and an invalid one invalid."""
+    bare = text.replace(" ", "")
+    if iban_valid(bare):
+        account = _mixed(f, "iban", bare[4:])
+        new = f"{98 - _iban_rest(bare[:2] + '00' + account):02d}{account}"
+    else:
+        new = _mixed(f, "iban", bare[2:])
+        while iban_valid(bare[:2] + new):
+            new = _mixed(f, "iban", new)
+    return text[:2] + _fill(text[2:], lambda c: c != " ", new)
+
+
+def _ip6(f: Feistel, text: str) -> str:
+    return _fill(text, lambda c: c != ":", f.string("ip6", text.lower().replace(":", ""), _HEX))
+
+
 def _ip(f: Feistel, text: str) -> str | None:
     octets = [int(x) for x in text.split(".")]
     if max(octets) > 255:
@@ -186,7 +219,8 @@ _KINDS = {
     "ssn": lambda f, t: _fill(t, _is_digit, f.string("ssn", "".join(filter(_is_digit, t)), _DIGITS)),
     "phone": _phone,
     "secret": _secret,
-    "iban": lambda f, t: t[:2] + _mixed(f, "iban", t[2:]),
+    "iban": _iban,
+    "ip6": _ip6,
     "card": _card,
 }
 
