@@ -22,7 +22,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -164,10 +164,19 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def turns_as_log(conversations: DataFrame) -> DataFrame:
-    """Each row of (conv_id, turn, role, text) as a message event."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("msg_id"), "role", "text"
-    )
+    """Each row of (conv_id, turn, role, text) as the events of a chat server: an assistant's answer streams in two parts
+    after a first try that is regenerated, a user's message is edited after a draft, others come whole. Rows of one turn
+    follow each other by role and text."""
+    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(by).cast("long"))
+    half = F.ceil(F.length("text") / 2).cast("int")
+    left, right = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    answer = F.array(event("delta", left), event("regenerate", F.lit("")), event("delta", left), event("delta", right))
+    asked = F.array(event("message", left), event("edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", answer).when(F.col("role") == "user", asked).otherwise(F.array(event("message", F.col("text"))))
+    each = rows.select("conv_id", "n", "role", F.posexplode(events).alias("k", "e"))
+    return each.select("conv_id", (F.col("n") * 4 + F.col("k")).alias("seq"), "e.kind", F.col("n").cast("string").alias("msg_id"), "role", "e.text")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
