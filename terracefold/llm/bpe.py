@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LONG = 512
+LONG = 128
+#: Bytes squared of the words in one recursive query: it makes a row for each byte and round.
+QUERY_SQUARES = 4_000_000
 BLOCK_CHARS = 2_000_000
 #: Bounds of the caches of one worker.
 WORDS, PIECES = 1_200_000, 1_200_000
@@ -79,7 +81,7 @@ class Coder:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.load("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())})
         self.load(
             "vocabulary",
@@ -159,8 +161,10 @@ class Coder:
         for k, w in enumerate(raw):
             if len(w) > LONG:
                 self.words[new[k]] = self.merged(w)
-        for at in range(0, len(short), 30_000):
-            some = short[at : at + 30_000]
+        part = np.cumsum([len(raw[k]) ** 2 for k in short], dtype=np.int64) // QUERY_SQUARES
+        borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(short)] if short else []
+        for at, to in zip(borders, borders[1:]):
+            some = short[at:to]
             sizes = np.array([len(raw[k]) for k in some])
             word = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
             pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
