@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,12 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go: Spark deletes them when the driver's JVM collects their frames."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet."""
     name, taken = base, {c.lower() for c in df.columns}

@@ -13,7 +13,8 @@
 6. None of these bounds loses a link: a prefix-filter join on full sets completes the search exactly. Two sets that reach
    SIMILARITY share a shingle among the first quarter of either in any common order (common shingles come last in the
    order used). Blocks of such a shingle pair up components, not nodes, so a crowded group of one component costs one
-   row; of the members of two components those pairs are confirmed whose sizes, positions and first quarters allow it.
+   row; of the members of two components those pairs are confirmed whose sizes and positions allow it and whose
+   estimate is not below POSSIBLE.
 
 Defined results: texts without a word (null, empty, blank) have no shingles and are linked with nothing. A null doc_id
 takes no part in grouping: component_id null, kept true. Repeated rows are copies of each other. Rows that share a
@@ -28,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, fresh, table
+from .common import cut, drop_cut, fresh, release, table
 from .graph import components
 from .shingles import DEPTH, TREES, minhashes, shingle_sets
 
 #: Similarity in percent; estimates from which a pair is confirmed, or counts as adjacent; neighbours on each side.
 SIMILARITY = 75
 CONFIRM, ADJACENT = 0.57, 0.4
+#: A pair that reaches SIMILARITY agrees in fewer of 96 minhashes than this share in less than one of 10**9 cases.
+POSSIBLE = 0.45
 NEIGHBOURS = 12
 #: Candidates that a node keeps of all trees, the likest first; step 6 finds what the others would have.
 BEST = 4
@@ -239,7 +242,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, component) of the nodes that have a confirmed link."""
     near = cut(candidates(nodes), "candidates")
+    release(spark)
     texts = _texts(docs, nodes, near, text)
+    release(spark)
     strong = near.filter(F.col("est") >= CONFIRM)
     best = _both_ways(strong, "est").groupBy("x").agg(F.max(F.struct("est", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     tried = cut(_ordered(best), "first-pairs")
@@ -259,7 +264,9 @@ def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nod
         joined = _stars(comp).union(more)
         tried, links = cut(tried.union(todo), "tried"), cut(links.union(more), "links")
     drop_cut(texts)
-    rest = cut(_possible(_prefix_pairs(signed, nodes, comp), signed, nodes), "rest-pairs")
+    release(spark)
+    rest = cut(_likely(_prefix_pairs(signed, nodes, comp), nodes, POSSIBLE), "rest-pairs")
+    release(spark)
     more = cut(confirm(rest, _texts(docs, nodes, rest, text)), "rest-links")
     return comp if more.isEmpty() else cut(components(_stars(comp).union(more)), "components")
 
@@ -319,25 +326,6 @@ def _prefix_pairs(signed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataF
     return cut(_ordered(pairs), "prefix-pairs")
 
 
-def _possible(pairs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose first shingles leave room for SIMILARITY."""
-    sets = cut(_sets_of(signed, _members(nodes, pairs).select("node", "text_hash")).select("node", "n", "first"), "first-shingles")
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_room, "a long, b long")
-
-
-def _room(batches):
-    """A common shingle is in both first parts, or behind the first part that ends earlier in the order."""
-    for batch in batches:
-        keep = []
-        for na, nb, fa, fb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
-            x, y = fa.values.to_numpy(), fb.values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True)) + max(min(na - len(x), nb), min(nb - len(y), na))
-            keep.append((100 + SIMILARITY) * both >= SIMILARITY * (na + nb))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _crossing(near: DataFrame, comp: DataFrame) -> DataFrame:
     """The candidates (a, b, est) whose ends lie in two components."""
     of = lambda x, c: comp.select(F.col("node").alias(x), F.col("component").alias(c))
@@ -363,22 +351,20 @@ def _next_pairs(crossing: DataFrame, nodes: DataFrame, links: DataFrame, comp: D
         sides = sides.groupBy("x").agg(F.max(F.struct("est", "y", "y_comp")).alias("m")).select("x", "m.y", "m.y_comp", "m.est")
     direct = sides.filter(F.col("est") >= CONFIRM).select("x", "y")
     to_hub = sides.select("x", "y_comp").distinct().join(hubs, "y_comp").select("x", F.col("hub").alias("y"))
-    sketches = nodes.select("node", "sketch")
-    promising = (
-        _ordered(to_hub)
-        .join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_promising, "a long, b long")
-    )
-    return _ordered(direct).union(promising).distinct()
+    return _ordered(direct).union(_likely(_ordered(to_hub), nodes, CONFIRM)).distinct()
 
 
-def _promising(batches):
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for k in (2, 3))
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
-        yield out.filter(pa.array((x == y).mean(axis=1) >= CONFIRM))
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in a share of at least `least`."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for k in (2, 3))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
+            yield out.filter(pa.array((x == y).mean(axis=1) >= least))
+
+    of = lambda x, c: nodes.select(F.col("node").alias(x), F.col("sketch").alias(c))
+    return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
