@@ -31,7 +31,7 @@ from .common import table
 
 LONG = 128
 #: Bytes squared of the words in one recursive query: it makes a row for each byte and round.
-QUERY_SQUARES = 4_000_000
+QUERY_SQUARES = 2_000_000
 BLOCK_CHARS = 2_000_000
 #: Bounds of the caches of one worker.
 WORDS, PIECES = 1_200_000, 1_200_000
