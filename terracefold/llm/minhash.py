@@ -36,8 +36,8 @@ from .shingles import DEPTH, TREES, minhashes, shingle_sets
 #: Similarity in percent; estimates from which a pair is confirmed, or counts as adjacent; neighbours on each side.
 SIMILARITY = 75
 CONFIRM, ADJACENT = 0.57, 0.4
-#: A pair that reaches SIMILARITY agrees in fewer of 96 minhashes than this share in less than one of 10**9 cases.
-POSSIBLE = 0.45
+#: A pair that reaches SIMILARITY agrees in fewer of 96 minhashes than this share in about one of 10**8 cases.
+POSSIBLE = 0.48
 NEIGHBOURS = 12
 #: Candidates that a node keeps of all trees, the likest first; step 6 finds what the others would have.
 BEST = 4
@@ -280,7 +280,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str) -> Da
     wanted = _members(nodes, pairs).select("node", F.col("text_hash").alias("_h"))
     slim = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("text"))
     return cut(
-        slim.join(wanted, (F.col("_d") == F.col("node")) & (F.col("_t") == F.col("_h"))).select("node", "text").dropDuplicates(["node"]),
+        # Dealt by both columns already, so no further shuffle.
+        slim.join(wanted, (F.col("_d") == F.col("node")) & (F.col("_t") == F.col("_h"))).dropDuplicates(["_d", "_t"]).select("node", "text"),
         "near-texts",
     )
 
@@ -293,7 +294,7 @@ def _members(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _sets_of(signed: DataFrame, some: DataFrame) -> DataFrame:
     """Rows of some (node, text_hash, ...) with their sizes n and first shingles."""
     sets = signed.filter("n_shingles > 0").select(F.col("doc_id").alias("node"), "text_hash", F.col("n_shingles").cast("int").alias("n"), "first")
-    return some.join(sets, ["node", "text_hash"]).dropDuplicates(["node"])
+    return some.join(sets, ["node", "text_hash"]).dropDuplicates(["node", "text_hash"])
 
 
 def _prefix_pairs(signed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -310,6 +311,8 @@ def _prefix_pairs(signed: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataF
     seen = each.select("h", "node", c.alias("c"), n.alias("n"), i.alias("i"), early.alias("early"), F.min(c).over(by).alias("c0"), F.max(c).over(by).alias("c1"), of(F.min, c).alias("e0"), of(F.max, c).alias("e1"), of(F.min, n).alias("n0"))
     mixed = seen.filter("c0 <> c1 AND e0 IS NOT NULL AND (early OR (n >= n0 AND (e0 <> c OR e1 <> c)))").select("h", "node", "c", "n", "i")
     mixed = cut(mixed, "blocks")
+    drop_cut(signed)  # the last use of the first shingles
+    release(signed.sparkSession)
     # Pairs of components first: the members of one component are never held against each other.
     classes = cut(mixed.groupBy("h", "c").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("i").alias("i0")), "block-classes")
     fits = lambda xn, xm, xi, yn, ym, yi: F.expr(  # noqa: E731  from the least sizes, the largest ones and the first positions
@@ -375,11 +378,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text") ->
     nodes = cut(
         sets.select("set_key", F.col("m.doc_id").alias("node"), F.col("m.text_hash"), F.col("m.sig"), F.col("m.sketch")), "nodes"
     )
+    own = cut(signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), "documents")
     comp = node_components(spark, docs, signed, nodes, text)
     of_set = nodes.select("set_key", "node").join(comp, "node", "left").select(
         F.col("set_key").alias("_k"), F.coalesce("component", "node").alias("_c")
     )
-    own = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     return own.join(of_set, F.col("set_key") == F.col("_k"), "left").select(
         "doc_id",
         "text_hash",
