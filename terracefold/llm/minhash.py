@@ -51,8 +51,16 @@ HOT_SHARE, HOT_COUNT, HOT_SHINGLES = 16, 3, 1 << 17
 _WIDTH = 4 * DEPTH
 
 
-def _counted(batches):
+def _slices(batches, rows: int):
+    """Smaller batches, so that a worker holds the sets of few texts at a time; freed memory goes back after each batch."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def _counted(batches):
+    for batch in _slices(batches, 1000):
         sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
         if sets:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
@@ -81,7 +89,7 @@ def _prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches, hot, rank):
-    for batch in batches:
+    for batch in _slices(batches, 1000):
         sets = list(shingle_sets(batch.column(2)))
         m = minhashes(sets)
         big = m.astype(">u4").tobytes()
@@ -199,7 +207,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _confirm(batches):
-    for batch in batches:
+    for batch in _slices(batches, 500):
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         where, texts = {}, []
         for ids, col in ((a, batch.column(2)), (b, batch.column(3))):
