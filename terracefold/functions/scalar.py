@@ -85,11 +85,11 @@ def split_identifier(name: Column) -> Column:
     return F.transform(F.filter(words, lambda w: (w != "") & ~w.rlike(r"^\p{N}+$")), F.lower)
 
 
-def csv_field(c: Column) -> Column:
-    """Quoted where it holds a delimiter, quote, line break or blank at an end."""
+def csv_field(c: Column, delimiter: str = ",") -> Column:
+    """Quoted where it holds the delimiter, a quote, a line break, or white space at an end."""
     text = F.coalesce(c.cast("string"), F.lit(""))
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(text.rlike('[",;\r\n\t]|^ | $'), quoted).otherwise(text)
+    return F.when(F.contains(text, F.lit(delimiter)) | text.rlike(r'["\r\n]|(?U:^\s|\s$)'), quoted).otherwise(text)
 
 
 def dot_text(c: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions.scalar import csv_field, dot_text, u16
 def csv_lines(df: DataFrame, columns: list[str], order: list[str], delimiter: str = ",") -> DataFrame:
     """(n, line) with the header as line 0, in canonical order."""
     w = Window.orderBy(*[u16(F.col(f"`{c}`").cast("string")) for c in order])
-    body = df.select(F.row_number().over(w).alias("n"), F.concat_ws(delimiter, *[csv_field(F.col(f"`{c}`")) for c in columns]).alias("line"))
+    body = df.select(F.row_number().over(w).alias("n"), F.concat_ws(delimiter, *[csv_field(F.col(f"`{c}`"), delimiter) for c in columns]).alias("line"))
     head = df.sparkSession.createDataFrame([(0, delimiter.join(columns))], "n int, line string")
     return head.union(body)
 

@@ -9,7 +9,9 @@ from ..plans.fixpoint import settle
 
 
 def tree(entities: DataFrame) -> DataFrame:
-    """(id, path, depth): ids from the root down, joined by '>'; ordering by path is preorder.
+    """(id, path, depth, preorder): ids from the root down, joined by '>'; rows in order of preorder are in preorder.
+
+    preorder joins the same ids by tabs, which come before all that ids hold, so a node's part of the tree follows it.
 
     Paths double in length each round, so deep trees need few rounds; what runs in a circle is absent.
     """
@@ -25,7 +27,7 @@ def tree(entities: DataFrame) -> DataFrame:
         reach *= 2
         hop = now.select(F.col("id").alias("h"), F.col("up").alias("up2"), F.col("next").alias("next2"))
         now = now.join(hop, F.col("next") == F.col("h"), "left").select("id", F.concat("up", F.coalesce("up2", F.array().cast("array<string>"))).alias("up"), F.col("next2").alias("next"))
-    return now.filter("next IS NULL").select("id", F.array_join(F.reverse("up"), ">").alias("path"), (F.size("up") - 1).alias("depth"))
+    return now.filter("next IS NULL").select("id", F.array_join(F.reverse("up"), ">").alias("path"), (F.size("up") - 1).alias("depth"), F.array_join(F.reverse("up"), "\t").alias("preorder"))
 
 
 def dossiers(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import EDGE_KINDS, TRAITS
 
-_COMMON = ["import", "invocation", "access", "reference"]
 #: Kinds and licensed edge kinds by language.
 KINDS = {
     "clojure": ["namespace", "var", "function", "protocol", "record", "multimethod", "defmethod", "implBlock", "parameter", "localBinding"],
@@ -23,16 +22,22 @@ KINDS = {
 }
 EDGES = {
     "clojure": ["import", "interfaceImplementation", "invocation", "access", "reference"],
-    "csharp": [*_COMMON, "inheritance", "interfaceImplementation", "annotationUse", "throws"],
-    "go": [*_COMMON, "interfaceImplementation", "embedding"],
-    "java": [*_COMMON, "inheritance", "interfaceImplementation", "annotationUse", "throws"],
-    "php": [*_COMMON, "inheritance", "interfaceImplementation", "traitUsage", "fileInclude"],
-}
+    "csharp": ["import", "inheritance", "interfaceImplementation", "invocation", "access", "reference", "annotationUse", "throws"],
+    "elixir": ["import", "interfaceImplementation", "invocation", "access", "reference", "throws"],
+    "go": ["import", "interfaceImplementation", "invocation", "access", "reference", "embedding"],
+    "java": ["import", "inheritance", "interfaceImplementation", "invocation", "access", "reference", "annotationUse", "throws"],
+    "javascript": ["import", "inheritance", "invocation", "access", "reference"],
+    "php": ["import", "inheritance", "interfaceImplementation", "invocation", "access", "reference", "traitUsage", "fileInclude"],
+    "python": ["import", "inheritance", "interfaceImplementation", "invocation", "access", "reference"],
+    "ruby": ["import", "inheritance", "traitUsage", "invocation", "access", "reference", "throws"],
+    "rust": ["import", "interfaceImplementation", "invocation", "access", "reference"],
+    "typescript": ["import", "inheritance", "interfaceImplementation", "invocation", "access", "reference", "annotationUse", "throws"],
+}
 
 
 def profile(lang: str) -> dict | None:
     """Kinds and edge kinds of a language; None where it is unknown, which is no error."""
-    return {"lang": lang, "kinds": KINDS[lang], "edges": EDGES.get(lang, _COMMON)} if lang in KINDS else None
+    return {"lang": lang, "kinds": KINDS[lang], "edges": EDGES[lang]} if lang in KINDS else None
 
 
 def profile_table(spark: SparkSession) -> DataFrame:
@@ -41,7 +46,7 @@ def profile_table(spark: SparkSession) -> DataFrame:
 
 
 def edge_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(lang, e) for lang in KINDS for e in EDGES.get(lang, _COMMON)], "lang string, edge string")
+    return spark.createDataFrame([(lang, e) for lang in KINDS for e in EDGES[lang]], "lang string, edge string")
 
 
 def issues(required: dict[str, list[str]], edges: list[str]) -> list[str]:

@@ -41,10 +41,11 @@ def heat(versions: DataFrame, ordinals: DataFrame, decay: float = 0.6) -> DataFr
 
 
 def append_snapshot(store: DataFrame, new: DataFrame, sha: str) -> DataFrame:
-    """store with the rows of a new revision; a revision that is there already is refused."""
+    """store with the rows of a new revision, of each key the first by ref; a revision that is there already is refused."""
     if not store.filter(F.col("revision") == sha).isEmpty():
         raise ValueError(f"revision {sha} is in the store already")
-    first = new.dropDuplicates(["key"])
+    order = F.col("ref") if "ref" in new.columns else F.monotonically_increasing_id()
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(order))).filter("_n = 1").drop("_n")
     return store.unionByName(first.withColumn("revision", F.lit(sha)), allowMissingColumns=True)
 
 

@@ -51,15 +51,14 @@ def coupled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supplier_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers of one part, in order of keys: the files' declared dependencies."""
-    w = Window.partitionBy("l_partkey").orderBy("l_suppkey")
-    pairs = star.table(spark, d, "lineitem").filter("l_returnflag = 'N' AND l_partkey % 7 = 0").select("l_partkey", "l_suppkey").distinct()
-    return pairs.withColumn("to", F.lead("l_suppkey").over(w)).filter("to IS NOT NULL").select(F.col("l_suppkey").alias("from"), "to").distinct()
+    """Each supplier and the next one of its nation, in order of keys: the files' declared dependencies."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    chain = star.table(spark, d, "supplier").select(F.col("s_suppkey").alias("from"), F.lead("s_suppkey").over(w).alias("to"))
+    return chain.filter("to IS NOT NULL")
 
 
 DEPS_SQL = """
-deps AS (SELECT DISTINCT l_suppkey AS "from", nxt AS "to" FROM (
-  SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS nxt FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N' AND l_partkey % 7 = 0)) WHERE nxt IS NOT NULL)"""
+deps AS (SELECT * FROM (SELECT s_suppkey AS "from", lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS "to" FROM supplier) WHERE "to" IS NOT NULL)"""
 
 
 def hidden(spark: SparkSession, d: str) -> DataFrame:

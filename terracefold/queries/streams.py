@@ -48,7 +48,7 @@ def folded_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def navigator_tree(spark: SparkSession, d: str) -> DataFrame:
-    return navigator.tree(star.entities(spark, d).filter("kind <> 'order'"))
+    return navigator.tree(star.entities(spark, d))
 
 
 def dossiers(spark: SparkSession, d: str) -> DataFrame:
@@ -83,10 +83,10 @@ ORACLES = {
     "events_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR > ts THEN 0 ELSE 1 END AS new FROM events),
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
       SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events FROM s GROUP BY user_id, n""",
-    "navigator_tree": "WITH " + graph.ENTITY_SQL + """, e AS (SELECT * FROM entity WHERE kind <> 'order'),
-      p AS (SELECT e.id, CASE WHEN p2.id IS NOT NULL THEN p2.id || '>' ELSE '' END || CASE WHEN p1.id IS NOT NULL THEN p1.id || '>' ELSE '' END || e.id AS path,
-        (p1.id IS NOT NULL)::INT + (p2.id IS NOT NULL)::INT AS depth FROM e LEFT JOIN e p1 ON p1.id = e.parent LEFT JOIN e p2 ON p2.id = p1.parent)
-      SELECT id, path, depth FROM p""",
+    "navigator_tree": "WITH RECURSIVE " + graph.ENTITY_SQL + """,
+      p AS (SELECT id, id AS path, 0 AS depth FROM entity WHERE parent IS NULL OR parent NOT IN (SELECT id FROM entity)
+        UNION ALL SELECT e.id, p.path || '>' || e.id, p.depth + 1 FROM entity e JOIN p ON e.parent = p.id)
+      SELECT id, path, depth, replace(path, '>', chr(9)) AS preorder FROM p""",
     "dossiers": "WITH " + graph.ENTITY_SQL + "," + graph.EDGE_SQL + """
       SELECT o.parent AS id, count(DISTINCT o.id) AS operations, count(*) FILTER (edge = 'invocation') AS invocations, count(*) FILTER (is_read) AS reads, count(*) FILTER (edge = 'access' AND NOT is_read) AS writes,
         count(*) FILTER (coalesce(t.is_stub, FALSE)) AS external

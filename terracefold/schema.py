@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 #: Traits, edge kinds, provenances and spaces of the data model.
-TRAITS = ["TNamed", "TSourceAnchor", "TComment", "TChildOf", "TAttachedTo", "TModule", "TType", "TTypedEntity", "TInvocable", "TWithParameters", "TWithLocalVariables", "TMetrics", "TWithValue"]
+TRAITS = ["TNamed", "TSourceAnchor", "TComment", "TWithChildren", "TChildOf", "TAttachedTo", "TModule", "TType", "TWithInheritances", "TWithImplements", "TTypedEntity", "TInvocable", "TWithParameters", "TWithLocalVariables", "TWithInvocations", "TStructural", "TWithAccesses", "TMetrics", "TWithValue"]
 EDGE_KINDS = ["import", "inheritance", "interfaceImplementation", "invocation", "access", "reference", "embedding", "traitUsage", "fileInclude", "annotationUse", "throws"]
 PROVENANCES = ["declared", "derived", "dynamic-candidate", "generated"]
 SPACES = ["type", "value"]

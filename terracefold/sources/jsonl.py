@@ -8,6 +8,7 @@ end record's counts, come out as findings instead of failing the whole load.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,11 +32,19 @@ def _records(lines: DataFrame, kind: str, schema: str) -> DataFrame:
     return lines.filter(F.col("t") == kind).select("path", F.from_json("value", schema).alias("r")).select("path", "r.*")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return re.sub("^file:/+", "file:/", whole.getPath() if whole.getScheme() is None else f"{whole.getScheme()}:{'//' + whole.getAuthority() if whole.getAuthority() else ''}{whole.getPath()}")
+
+
 def read_models(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, edges, findings) of all files; model_index follows the order of paths."""
     lines = read_lines(spark, paths)
     headers = _records(lines, "header", _HEADER)
-    order = F.dense_rank().over(Window.orderBy("path")) - 1  # one row per file
+    # One row per file; files of a folder or pattern come after those that are named, by path.
+    named = F.array_position(F.array(*[F.lit(_qualified(spark, p)) for p in paths]), F.regexp_replace("path", "^file:/+", "file:/"))
+    order = F.dense_rank().over(Window.orderBy(F.coalesce(F.when(named > 0, named), F.lit(len(paths) + 1)), "path")) - 1
     headers = headers.select("path", "lang", "dict", order.alias("model_index"))
     raw = _records(lines, "e", _ENTITY).join(headers, "path")
     pick = lambda names, i: F.get(F.col(f"dict.{names}"), i)
