@@ -31,10 +31,10 @@ from .common import table
 
 LONG = 128
 #: Bytes squared of the words in one recursive query: it makes a row for each byte and round.
-QUERY_SQUARES = 2_000_000
+QUERY_SQUARES = 1_500_000
 BLOCK_CHARS = 2_000_000
 #: Bounds of the caches of one worker.
-WORDS, PIECES = 1_200_000, 1_200_000
+WORDS, PIECES = 1_000_000, 1_000_000
 IDLE_SECONDS = 4.0
 #: Texts in which white space stands beside a space or at an end are split by the pattern as a whole.
 _UNCUT = re.compile(r"\A\s|\s\Z|\s | \s")
@@ -81,7 +81,7 @@ class Coder:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.load("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())})
         self.load(
             "vocabulary",
