@@ -16,6 +16,7 @@ Repeated rows give repeated results; an empty table gives none. Extra columns ar
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import heapq
 import re
@@ -33,8 +34,8 @@ LONG = 128
 #: Bytes squared of the words in one recursive query: it makes a row for each byte and round.
 QUERY_SQUARES = 1_500_000
 BLOCK_CHARS = 2_000_000
-#: Bounds of the caches of one worker.
-WORDS, PIECES = 1_000_000, 1_000_000
+#: Entries of a generation from which the next one begins, for each cache of one worker.
+WORDS, PIECES = 250_000, 250_000
 IDLE_SECONDS = 4.0
 #: Texts in which white space stands beside a space or at an end are split by the pattern as a whole.
 _UNCUT = re.compile(r"\A\s|\s\Z|\s | \s")
@@ -60,6 +61,32 @@ SELECT word, id FROM t SEMI JOIN ends USING (word, round) ORDER BY word, pos
 _DECODE = "SELECT doc, string_agg(bytes, '') AS text FROM (SELECT doc, v.bytes FROM ids JOIN vocabulary v USING (id) ORDER BY pos) GROUP BY doc"
 
 
+class Recent:
+    """A cache of two generations: once the young one is full it becomes the old one, and what the old one held goes."""
+
+    def __init__(self, bound: int):
+        self.bound, self.young, self.old = bound, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.bound:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys) -> list[str]:
+        """Those of the keys that neither generation holds; the others are in the young one afterwards."""
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
+#: Gives freed memory back to the system, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 class Coder:
     """Ranks of one vocabulary file, in memory and as DuckDB tables."""
 
@@ -89,8 +116,7 @@ class Coder:
         )
         self.timer: threading.Timer | None = None
         self.lock, self.active = threading.Lock(), False
-        self.words: dict[str, bytes] = {}
-        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.clear()
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -98,8 +124,14 @@ class Coder:
             cls._open[path] = cls(path, pattern)
         return cls._open[path]
 
+    def clear(self) -> None:
+        self.words, self.first, self.rest = Recent(WORDS), Recent(PIECES), Recent(PIECES)
+
     def busy(self) -> None:
-        """A task begins: the caches stay."""
+        """A task begins: the caches stay, and what earlier stages left in this worker goes."""
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
         with self.lock:
             self.active = True
         if self.timer:
@@ -117,7 +149,7 @@ class Coder:
     def forget(self) -> None:
         with self.lock:
             if not self.active:
-                self.words, self.pieces = {}, ({}, {})
+                self.clear()
 
     def load(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -156,11 +188,12 @@ class Coder:
 
     def learn(self, new: list[str]) -> None:
         """Encode words that self.words lacks."""
+        words = self.words.young
         raw = [w.encode() for w in new]
         short = [k for k, w in enumerate(raw) if len(w) <= LONG]
         for k, w in enumerate(raw):
             if len(w) > LONG:
-                self.words[new[k]] = self.merged(w)
+                words[new[k]] = self.merged(w)
         part = np.cumsum([len(raw[k]) ** 2 for k in short], dtype=np.int64) // QUERY_SQUARES
         borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(short)] if short else []
         for at, to in zip(borders, borders[1:]):
@@ -176,28 +209,25 @@ class Coder:
             ends = np.cumsum(np.bincount(np.asarray(got["word"]), minlength=len(some))) * 4
             begin = 0
             for k, end in zip(some, ends.tolist()):
-                self.words[new[k]] = flat[begin:end]
+                words[new[k]] = flat[begin:end]
                 begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        first, rest = self.pieces
-        if len(first) + len(rest) > PIECES:
-            first.clear()
-            rest.clear()
-        if len(self.words) > WORDS:
-            self.words.clear()
+        for cache in (self.words, self.first, self.rest):
+            cache.turn()
+        first, rest = self.first.young, self.rest.young
         alone = {k: self.pattern.findall(t) for k, t in enumerate(texts) if _UNCUT.search(t)}
         split = [() if k in alone else t.split(" ") for k, t in enumerate(texts)]
         begin, inner = {p[0] for p in split if p}, set()
         for p in split:
             inner.update(p[1:])
-        todo = [(first, p, self.pattern.findall(p)) for p in begin if p not in first]
-        todo += [(rest, p, self.pattern.findall(" " + p)) for p in inner if p not in rest]
+        todo = [(first, p, self.pattern.findall(p)) for p in self.first.missing(begin)]
+        todo += [(rest, p, self.pattern.findall(" " + p)) for p in self.rest.missing(inner)]
         words = {w for _, _, ws in todo for w in ws}
         words.update(*alone.values())
-        self.learn([w for w in words if w not in self.words])
-        known = self.words.__getitem__
+        self.learn(self.words.missing(words))
+        known = self.words.young.__getitem__
         for cache, p, ws in todo:
             cache[p] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
         out = []
