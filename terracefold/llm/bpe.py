@@ -40,22 +40,23 @@ IDLE_SECONDS = 4.0
 #: Texts in which white space stands beside a space or at an end are split by the pattern as a whole.
 _UNCUT = re.compile(r"\A\s|\s\Z|\s | \s")
 
+#: Positions run on over all words of a query. Of a word's keys (rank, position) the least is its leftmost pair of least rank; a
+#: row whose left neighbour holds that pair goes. A word without a pair is done.
 _CONTRACT = """
-WITH RECURSIVE t(round, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM start
+WITH RECURSIVE t(done, word, pos, id) AS (
+  SELECT false, word, pos, id FROM start
   UNION ALL
-  SELECT round + 1, word, pos, CASE WHEN key = best THEN (key // 1024)::INTEGER ELSE id END
-  FROM (
-    SELECT round, word, pos, id, key, min(key) OVER (PARTITION BY word) AS best,
-           lag(key) OVER (PARTITION BY word ORDER BY pos) AS before
+  (WITH k AS (
+    SELECT x.word, x.pos, x.id, x.before, m.rank * 4294967296 + x.pos AS key
     FROM (
-      SELECT x.round, x.word, x.pos, x.id, m.rank::BIGINT * 1024 + x.pos AS key
-      FROM (SELECT round, word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM t) x
-      LEFT JOIN merges m ON m.l = x.id AND m.r = x.next
-    )
-  ) WHERE best IS NOT NULL AND before IS DISTINCT FROM best
-), ends AS (SELECT word, max(round) AS round FROM t GROUP BY word)
-SELECT word, id FROM t SEMI JOIN ends USING (word, round) ORDER BY word, pos
+      SELECT word, pos, id, lag(pos) OVER w AS before, CASE WHEN lead(word) OVER w = word THEN lead(id) OVER w END AS next
+      FROM t WHERE NOT done WINDOW w AS (ORDER BY pos)
+    ) x LEFT JOIN merges m ON m.l = x.id AND m.r = x.next
+  ), least AS (SELECT word, min(key) AS best FROM k GROUP BY word)
+  SELECT best IS NULL, word, pos, CASE WHEN key = best THEN (key // 4294967296)::INTEGER ELSE id END
+  FROM k JOIN least USING (word) WHERE best IS NULL OR before IS DISTINCT FROM best % 4294967296)
+)
+SELECT word, id FROM t WHERE done ORDER BY pos
 """
 
 _DECODE = "SELECT doc, string_agg(bytes, '') AS text FROM (SELECT doc, v.bytes FROM ids JOIN vocabulary v USING (id) ORDER BY pos) GROUP BY doc"
@@ -109,7 +110,7 @@ class Coder:
                     right.append(b)
                     rank.append(r)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        self.load("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())})
+        self.load("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int64())})
         self.load(
             "vocabulary",
             {"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())},
@@ -200,7 +201,7 @@ class Coder:
             some = short[at:to]
             sizes = np.array([len(raw[k]) for k in some])
             word = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
-            pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+            pos = np.arange(len(word), dtype=np.int32)
             ids = self.byte_id[np.frombuffer(b"".join(raw[k] for k in some), np.uint8)]
             self.db.register("start", pa.table({"word": word, "pos": pos, "id": ids}))
             got = self.db.execute(_CONTRACT).fetchnumpy()
