@@ -326,3 +326,17 @@ def test_many_long_words():
     like = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
     got = coder.encode(texts)
     assert all(g == np.array(like.encode_ordinary(t), "<u4").tobytes() for g, t in zip(got, texts))
+
+
+def test_bpe_small_caches_and_position_order(monkeypatch):
+    """Caches that turn over in every block, and words of many merges side by side, give the same tokens as a heap."""
+    from terracefold.llm import bpe
+
+    monkeypatch.setattr(bpe, "WORDS", 3)
+    monkeypatch.setattr(bpe, "PIECES", 2)
+    coder = bpe.Coder(*bpe.public_vocabulary())
+    blocks = [["aaaa aaaa aaaaa", "the cat, the cats", ""], ["internationalisation the aaaa", "Straße über"], ["the cat, the cats", "ababab  bababa "]]
+    for texts in [*blocks, *blocks]:
+        got = coder.encode(texts)
+        assert got == [b"".join(coder.merged(w.encode()) for w in coder.pattern.findall(t)) for t in texts]
+        assert coder.decode(got) == [t.encode() for t in texts]
