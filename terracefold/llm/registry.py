@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality_rank, quality_rules, warc
+from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, prefix_trie, quality_rank, quality_rules, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.SQL,
     "op7_host_rules": quality_rules.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
