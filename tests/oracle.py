@@ -1,13 +1,16 @@
 """Comparison of a query with its oracle SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda v: "null" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    whole = frame.columns[[pd.api.types.is_float_dtype(frame[c]) and bool((frame[c].dropna() % 1 == 0).all()) for c in frame]]
+    frame = frame.astype(dict.fromkeys(whole, "Int64"))  # whole numbers with nulls come as floats from one side
+    cell = lambda v: "null" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
     return list(frame.columns), sorted(tuple(map(cell, r)) for r in frame.itertuples(index=False, name=None))
 
 
