@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, prefix_trie, quality_rank, quality_rules, warc
+from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, prefix_trie, quality_rank, quality_rules, search, suffix_tree, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_lm_scores": suffix_tree.op11_lm_scores,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_lexical_search": search.op13_lexical_search,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op7_host_rules": quality_rules.SQL,
     "op10_decontaminate": decontaminate.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_lexical_search": search.SQL,
 }
