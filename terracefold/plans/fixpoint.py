@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,8 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return at.rstrip("/") if at else "file://" + os.path.join(tempfile.gettempdir(), "terracefold-shared")
+    if at:
+        return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "terracefold-shared")
 
 
 def settle(df: DataFrame) -> DataFrame:

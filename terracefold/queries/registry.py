@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evolution, graph, streams
+from . import evolution, graph, store, streams
 
 FLAGSHIP = "coupling_type"
-QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES}
-ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES}
+QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES, **store.QUERIES}
+ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES, **store.ORACLES}
