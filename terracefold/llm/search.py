@@ -3,8 +3,9 @@
 Order. Bisection (halves of documents swap members while that shortens the gaps of their terms' postings) is fitted on at
 most 2 * SAMPLE documents, each by its FEATURES terms of least hash, and leaves a tree: a node weighs terms by how much
 commoner they are in its left half, and parts documents at the sample's median of their mean weight. Every document
-walks down the tree by all its terms; a leaf that holds more than a shard is dealt into pieces by hash. So similar
-documents share a shard, and a group of copies that holds a third of all rows makes many shards of one kind.
+walks down the tree by all its terms; leaves that the sample expects to be large are dealt into pieces by hash, and each piece
+is cut, in order of doc_id, into shards of at most SHARD documents. So similar documents share a shard, no task holds
+more than one, and a group of copies that holds a third of all rows makes many shards of one kind.
 
 Index. One row per shard and term: places of documents in the shard, occurrences, document lengths; one row per shard
 (with the empty term) maps places back to doc_id. All terms of all documents are indexed.
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 TOP = 10
-#: Documents in a shard; documents of the sample (twice as many at most), term hashes of each, hash buckets, levels of the tree.
-SHARD, SAMPLE, FEATURES, BUCKETS, LEVELS = 2048, 4096, 256, 1 << 14, 8
+#: Documents in a shard at most; documents of the sample (twice as many at most), term hashes of each at most, hash buckets, levels.
+SHARD, SAMPLE, FEATURES, BUCKETS, LEVELS = 1024, 4096, 4096, 1 << 14, 8
 #: Items that one group of a round holds at a time; bytes of text that are split at a time.
 ITEMS, PIECE = 4096, 1 << 22
+#: Texts of which a task holds the terms at a time.
+ROWS = 128
 #: ASCII letters in lower case and digits stay, other ASCII parts terms, all else belongs to terms.
 _MAP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -99,12 +102,11 @@ def _bisect(rows: list[np.ndarray]) -> tuple[np.ndarray, float] | None:
 
 
 class Order:
-    """The tree, and the shards of each leaf."""
+    """The tree, and into how many pieces each leaf is dealt."""
 
     def __init__(self, rows: list[np.ndarray], docs: int):
         self.weights, self.parts, self.kids = [], [], []
-        self.shards: list[tuple[int, int]] = []
-        self.first = 0
+        self.pieces: list[int] = []
         levels = min(LEVELS, max(0, math.ceil(math.log2(max(docs, 1) / SHARD))))
         self.root = self._grow(rows, levels, docs / max(len(rows), 1))
         self.weights = np.array(self.weights, np.float32).reshape(-1, BUCKETS)
@@ -113,10 +115,8 @@ class Order:
         """Index of a node, or -1 - leaf."""
         made = _bisect(rows) if levels and len(rows) >= 16 else None
         if made is None:
-            pieces = max(1, math.ceil(len(rows) * scale / SHARD))
-            self.shards.append((self.first, pieces))
-            self.first += pieces
-            return -len(self.shards)
+            self.pieces.append(max(1, math.ceil(len(rows) * scale / SHARD)))
+            return -len(self.pieces)
         k = len(self.kids)
         self.weights.append(made[0])
         self.parts.append(made[1])
@@ -125,8 +125,8 @@ class Order:
         self.kids[k] = tuple(self._grow([r for r, g in zip(rows, goes) if g == side], levels - 1, scale) for side in (True, False))
         return k
 
-    def shard(self, docs: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
-        """The shard of each document, given its terms' buckets and a hash of it."""
+    def place(self, docs: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        """(leaf, piece of it) of each document, given its terms' buckets and a hash of it."""
         n = len(docs)
         size = np.array([len(d) for d in docs])
         of, terms = np.repeat(np.arange(n), size), np.concatenate([np.zeros(0, np.int64), *docs])
@@ -136,8 +136,7 @@ class Order:
             on = at[of] >= 0
             mean = np.bincount(of[on], self.weights[at[of[on]], terms[on]], n) / size
             at = np.where(at < 0, at, np.where(mean > parts[at], kids[at, 0], kids[at, 1]))
-        first, pieces = np.array(self.shards).T
-        return first[-1 - at] + hashes % pieces[-1 - at]
+        return -1 - at, hashes % np.array(self.pieces)[-1 - at]
 
 
 def fit_order(docs: DataFrame) -> Order:
@@ -152,36 +151,36 @@ def fit_order(docs: DataFrame) -> Order:
 
 # ---------------------------------------------------------------- index
 
-_VECTOR = "shard long, doc_id long, n long, terms array<binary>, tfs array<long>"
-_INDEX = "shard long, term binary, ords array<int>, tfs array<long>, ns array<long>, ids array<long>"
+_VECTOR = "leaf long, piece long, doc_id long, n long, terms array<binary>, tfs array<int>"
+_INDEX = "shard long, term binary, ords array<int>, tfs array<int>, ns array<int>, ids array<long>"
 
 
 def _vectors(order):
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                ids, texts, hashes = (c.to_pylist() for c in batch.slice(start, 512).columns)
+            for start in range(0, batch.num_rows, ROWS):
+                ids, texts, hashes = (c.to_pylist() for c in batch.slice(start, ROWS).columns)
                 found = [(i, h, c) for i, t, h in zip(ids, texts, hashes) if (c := counts(t))]
                 if not found:
                     continue
-                shards = order.value.shard([buckets(c) for _, _, c in found], np.array([h for _, h, _ in found]))
+                leaves, pieces = order.value.place([buckets(c) for _, _, c in found], np.array([h for _, h, _ in found]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(shards, pa.int64()),
+                        pa.array(leaves, pa.int64()),
+                        pa.array(pieces, pa.int64()),
                         pa.array([i for i, _, _ in found], pa.int64()),
                         pa.array([c.total() for _, _, c in found], pa.int64()),
                         pa.array([list(c) for _, _, c in found], pa.list_(pa.binary())),
-                        pa.array([list(c.values()) for _, _, c in found], pa.list_(pa.int64())),
+                        pa.array([list(c.values()) for _, _, c in found], pa.list_(pa.int32())),
                     ],
-                    ["shard", "doc_id", "n", "terms", "tfs"],
+                    ["leaf", "piece", "doc_id", "n", "terms", "tfs"],
                 )
 
     return run
 
 
-def _inverted(docs: pa.Table) -> pa.Table:
-    """Postings of one shard, by term and then place; places follow doc_id, null first."""
-    docs = docs.take(pa.compute.sort_indices(docs, sort_keys=[("doc_id", "ascending")], null_placement="at_start")).combine_chunks()
+def _inverted(shard: int, docs: pa.Table) -> pa.Table:
+    """Postings of the documents of one shard, by term and then place, after a row that maps places to doc_id."""
     terms = docs["terms"].combine_chunks()
     sizes = np.diff(terms.offsets.to_numpy())
     flat = terms.flatten().dictionary_encode()
@@ -191,29 +190,57 @@ def _inverted(docs: pa.Table) -> pa.Table:
     ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(flat.dictionary)))]).astype(np.int32)
     lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
     n = docs["n"].to_numpy()
-    shard = docs["shard"][0].as_py()
     rows = len(flat.dictionary)
     out = pa.table(
         {
             "shard": pa.array(np.full(rows, shard), pa.int64()),
             "term": flat.dictionary,
             "ords": lists(ords[by], pa.int32()),
-            "tfs": lists(docs["tfs"].combine_chunks().flatten().to_numpy()[by], pa.int64()),
-            "ns": lists(n[ords[by]], pa.int64()),
+            "tfs": lists(docs["tfs"].combine_chunks().flatten().to_numpy()[by], pa.int32()),
+            "ns": lists(n[ords[by]].astype(np.int32), pa.int32()),
             "ids": pa.nulls(rows, pa.list_(pa.int64())),
         }
     )
-    head = pa.table([pa.array([shard], pa.int64()), pa.array([b""], pa.binary()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([docs["doc_id"].to_pylist()], pa.list_(pa.int64()))], schema=out.schema)
+    head = pa.table([pa.array([shard], pa.int64()), pa.array([b""], pa.binary()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int32())), pa.array([docs["doc_id"].to_pylist()], pa.list_(pa.int64()))], schema=out.schema)
     return pa.concat_tables([head, out])
 
 
+def _shards(batches):
+    """Indexes of runs of up to SHARD documents of a piece; rows come sorted by piece and doc_id."""
+    held, size, run, number = [], 0, None, 0
+
+    def made():
+        nonlocal held, size, number
+        out = _inverted((run[0] << 44) + (run[1] << 22) + number, pa.Table.from_batches(held).combine_chunks())
+        held, size, number = [], 0, number + 1
+        return out.to_batches(max_chunksize=50_000)
+
+    for batch in batches:
+        leaf, piece = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        turns = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(piece) != 0)) + 1
+        for a, b in zip([0, *turns], [*turns, batch.num_rows]):
+            if size and run != (leaf[a], piece[a]):
+                yield from made()
+            if run != (leaf[a], piece[a]):
+                run, number = (int(leaf[a]), int(piece[a])), 0
+            while a < b:
+                take = int(min(b - a, SHARD - size))
+                held.append(batch.slice(a, take))
+                size, a = size + take, a + take
+                if size == SHARD:
+                    yield from made()
+    if size:
+        yield from made()
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """The clustered index of docs (doc_id, text) as a table in the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = docs.sparkSession.sparkContext.broadcast(fit_order(rows))
     hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
     vectors = hashed.mapInArrow(_vectors(order), _VECTOR)
-    return cut(vectors.groupBy("shard").applyInArrow(_inverted, _INDEX), "index")
+    dealt = vectors.repartition("leaf", "piece").sortWithinPartitions("leaf", "piece", F.asc_nulls_first("doc_id"))
+    return cut(dealt.mapInArrow(_shards, _INDEX), "index")
 
 
 # ---------------------------------------------------------------- search
@@ -276,7 +303,7 @@ def search(index: DataFrame, items: DataFrame, top_rounds: int = 4) -> DataFrame
     df = found.groupBy("term").agg(F.sum(F.size("ords")).alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * docs + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
     terms = cut(df.select(F.monotonically_increasing_id().alias("term_id"), "term", weight.alias("w")), "terms")
-    gains = F.zip_with("tfs", "ns", lambda tf, n: score_of(tf, n, docs, max(total, 1)))
+    gains = F.zip_with("tfs", "ns", lambda tf, n: score_of(tf.cast("long"), n.cast("long"), docs, max(total, 1)))
     postings = cut(index.join(terms, "term").select("shard", "term_id", "w", "ords", gains.alias("gains")), "postings")
     known = pairs.join(terms.select("term", "term_id"), "term").select("item", "term_id")
     tops = postings.select("shard", "term_id", (F.col("w") * F.array_max("gains")).alias("most"))

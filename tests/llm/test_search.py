@@ -55,7 +55,7 @@ def test_against_every_document(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD", 40)
     docs, items = corpus(3, 900)
     order = search.fit_order(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert len(order.kids) >= 8 and max(p for _, p in order.shards) > 1
+    assert len(order.kids) >= 8 and max(order.pieces) > 1
     assert got(spark, docs, items) == brute(docs, items)
 
 
