@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import settle
+from .components import reaches
+
 DAY = 86_400
 MOMENTUM_DAYS = 90
 
@@ -119,11 +122,23 @@ def path_join(model_paths: DataFrame, history_paths: DataFrame) -> DataFrame:
     return pairs.join(m, "model_path", "left_semi").join(h, "history_path", "left_semi").select("model_path", "history_path")
 
 
-def hidden_coupling(coupled: DataFrame, reach: DataFrame) -> DataFrame:
-    """Co-changing pairs without a dependency path (start, id) in either direction."""
-    r = reach.select(F.col("start").alias("a"), F.col("id").alias("b"))
-    back = reach.select(F.col("id").alias("a"), F.col("start").alias("b"))
-    return coupled.join(r, ["a", "b"], "left_anti").join(back, ["a", "b"], "left_anti")
+def file_dependencies(edges: DataFrame, places: DataFrame, declared_only: bool = True) -> DataFrame:
+    """(from, to, count): edges (file, to, provenance) from their file to the file of their target (places: id, file); edges inside
+    a file, or to what has no file, are none."""
+    kept = edges.filter("provenance = 'declared'") if declared_only else edges
+    targets = places.filter("file IS NOT NULL").select(F.col("id").alias("to"), F.col("file").alias("target"))
+    met = kept.select(F.col("file").alias("from"), "to").join(targets, "to").filter("`from` <> target")
+    return met.groupBy("from", F.col("target").alias("to")).agg(F.count("*").alias("count"))
+
+
+def hidden_coupling(coupled: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Co-changing pairs (a, b) without a way of dependencies (from, to) in either direction; only those pairs are asked for."""
+    pairs = settle(coupled)
+    files = dependencies.select(F.explode(F.array("from", "to")).alias("id")).distinct()
+    asked = pairs.select("a", "b").union(pairs.select("b", "a"))
+    found = settle(reaches(files, dependencies, asked))
+    back = found.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return pairs.join(found, ["a", "b"], "left_anti").join(back, ["a", "b"], "left_anti")
 
 
 def dead_weight(file_edges: DataFrame, coupled: DataFrame) -> DataFrame:

@@ -50,26 +50,72 @@ def coupled(spark: SparkSession, d: str) -> DataFrame:
     return history.logical_coupling(star.changes(spark, d), SUPPORT, CONFIDENCE, LARGEST)
 
 
-def _supplier_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Each supplier and the next one of its nation, in order of keys: the files' declared dependencies."""
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    chain = star.table(spark, d, "supplier").select(F.col("s_suppkey").alias("from"), F.lead("s_suppkey").over(w).alias("to"))
-    return chain.filter("to IS NOT NULL")
+def _dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return history.file_dependencies(*star.file_facts(spark, d))
 
 
+PART_COUPLED = 2
 DEPS_SQL = """
-deps AS (SELECT * FROM (SELECT s_suppkey AS "from", lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS "to" FROM supplier) WHERE "to" IS NOT NULL)"""
+ends AS (SELECT l_orderkey AS id, min((l_linenumber, l_partkey, l_returnflag)) AS a, max((l_linenumber, l_partkey, l_returnflag)) AS z FROM lineitem GROUP BY 1),
+facts AS (SELECT a[2] AS file, a[3] AS flag, lag(z[2]) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, id) AS src FROM ends JOIN orders ON o_orderkey = id),
+deps AS (SELECT src AS "from", file AS "to", count(*)::BIGINT AS count FROM facts WHERE flag = 'N' AND src <> file GROUP BY 1, 2)"""
+PARTS_SQL = f"""
+part_changes AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS path FROM lineitem),
+part_revs AS (SELECT path, count(*) AS n FROM part_changes GROUP BY 1),
+few AS (SELECT * FROM part_changes WHERE commit IN (SELECT commit FROM part_changes GROUP BY 1 HAVING count(*) <= {LARGEST})),
+together AS (SELECT s.path AS a, t.path AS b, count(*)::BIGINT AS support FROM few s JOIN few t ON s.commit = t.commit AND s.path < t.path GROUP BY 1, 2),
+coupled AS (SELECT a, b, support, round(support / greatest(least(x.n, y.n), 1), 6) AS confidence FROM together JOIN part_revs x ON x.path = a JOIN part_revs y ON y.path = b
+  WHERE support >= {PART_COUPLED} AND support / greatest(least(x.n, y.n), 1) >= {CONFIDENCE})"""
+
+
+def dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return _dependencies(spark, d)
 
 
 def hidden(spark: SparkSession, d: str) -> DataFrame:
-    pairs = components.settle(coupled(spark, d))
-    starts = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return history.hidden_coupling(pairs, components.reachable(_supplier_edges(spark, d), starts))
+    pairs = history.logical_coupling(star.part_changes(spark, d), PART_COUPLED, CONFIDENCE, LARGEST)
+    return history.hidden_coupling(pairs, components.settle(_dependencies(spark, d)))
 
 
 def dead(spark: SparkSession, d: str) -> DataFrame:
-    every = history.logical_coupling(star.changes(spark, d), 1, 0.0, LARGEST)
-    return history.dead_weight(_supplier_edges(spark, d), every)
+    every = history.logical_coupling(star.part_changes(spark, d), 1, 0.0, LARGEST)
+    return history.dead_weight(_dependencies(spark, d), every)
+
+
+def _part_components(spark: SparkSession, d: str):
+    nodes = star.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    edges = components.settle(star.part_successors(spark, d))
+    return edges, components.settle(components.strong_components(nodes, edges))
+
+
+def part_components(spark: SparkSession, d: str) -> DataFrame:
+    return _part_components(spark, d)[1]
+
+
+def part_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return components.cycle_report(*_part_components(spark, d))
+
+
+def part_layers(spark: SparkSession, d: str) -> DataFrame:
+    edges, comp = _part_components(spark, d)
+    return components.layers(comp.select(F.col("component").alias("id")).distinct(), components.condense(edges, comp))
+
+
+def part_reaches(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of one order of which the first leads to the second by successors."""
+    edges, comp = _part_components(spark, d)
+    li = star.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    pairs = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).select("a", "b").distinct()
+    return components.reaches(comp.select("id"), edges, pairs, comp)
+
+
+SUCCESSOR_SQL = """
+line AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem),
+pair AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM line),
+succ AS (SELECT l_partkey AS "from", max((l_orderkey, l_linenumber, nxt))[3] AS "to" FROM pair WHERE nxt IS NOT NULL GROUP BY 1),
+way(a, b) AS (SELECT "from", "to" FROM succ UNION SELECT w.a, s."to" FROM way w JOIN succ s ON s."from" = w.b),
+both_ways AS (SELECT w.a, min(w.b) AS least FROM way w JOIN way v ON v.a = w.b AND v.b = w.a GROUP BY 1),
+comp AS (SELECT p_partkey AS id, least(p_partkey, coalesce(least, p_partkey)) AS component FROM part LEFT JOIN both_ways ON a = p_partkey)"""
 
 
 def running(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +255,11 @@ QUERIES = {
     "logical_coupling": coupled,
     "hidden_coupling": hidden,
     "dead_weight": dead,
+    "file_dependencies": dependencies,
+    "components_part": part_components,
+    "cycles_part": part_cycles,
+    "layers_part": part_layers,
+    "reaches_part": part_reaches,
     "running_size": running,
     "path_join": path_join,
     "revisions": revisions,
@@ -250,10 +301,19 @@ ORACLES = {
     "author_stats": _H + "," + BY_SQL + _OWN + _AUTHORS + " SELECT * FROM a",
     "bus_factor": _H + "," + BY_SQL + _OWN + _AUTHORS + """ SELECT count(*) AS bus_factor FROM (SELECT coalesce(sum(owns) OVER (ORDER BY owns DESC, author ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a WHERE owns > 0) WHERE before * 2 <= (SELECT count(*) FROM supplier)""",
     "logical_coupling": _H + "," + COUPLED_SQL + " SELECT * FROM coupled",
-    "hidden_coupling": "WITH RECURSIVE" + HISTORY_SQL + "," + COUPLED_SQL + "," + DEPS_SQL + """, r(a, b) AS (SELECT "from", "to" FROM deps UNION SELECT r.a, deps."to" FROM r JOIN deps ON deps."from" = r.b)
-      SELECT * FROM coupled c WHERE NOT EXISTS (SELECT 1 FROM r WHERE (r.a = c.a AND r.b = c.b) OR (r.a = c.b AND r.b = c.a))""",
-    "dead_weight": _H + "," + DEPS_SQL + f""", small AS (SELECT * FROM changes WHERE commit IN (SELECT commit FROM changes GROUP BY 1 HAVING count(*) <= {LARGEST})), co AS (SELECT DISTINCT s.path AS a, t.path AS b FROM small s JOIN small t ON s.commit = t.commit AND s.path < t.path)
-      SELECT DISTINCT least("from", "to") AS a, greatest("from", "to") AS b FROM deps WHERE "from" <> "to" AND (least("from", "to"), greatest("from", "to")) NOT IN (SELECT (a, b) FROM co)""",
+    "hidden_coupling": "WITH RECURSIVE" + DEPS_SQL + "," + PARTS_SQL + """, starts AS (SELECT a AS s FROM coupled UNION SELECT b FROM coupled),
+      r(a, b) AS (SELECT "from", "to" FROM deps WHERE "from" IN (SELECT s FROM starts) UNION SELECT r.a, deps."to" FROM r JOIN deps ON deps."from" = r.b)
+      SELECT * FROM coupled c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = c.a AND r.b = c.b) AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = c.b AND r.b = c.a)""",
+    "dead_weight": "WITH" + DEPS_SQL + "," + PARTS_SQL + """ SELECT DISTINCT least("from", "to") AS a, greatest("from", "to") AS b FROM deps WHERE (least("from", "to"), greatest("from", "to")) NOT IN (SELECT (a, b) FROM together)""",
+    "file_dependencies": "WITH" + DEPS_SQL + " SELECT * FROM deps",
+    "components_part": "WITH RECURSIVE" + SUCCESSOR_SQL + " SELECT id, component FROM comp",
+    "cycles_part": "WITH RECURSIVE" + SUCCESSOR_SQL + """ SELECT component, count(*) AS size, array_to_string(list_sort(list(id)), ';') AS members,
+      (SELECT count(*) FROM succ JOIN comp a ON a.id = "from" JOIN comp b ON b.id = "to" WHERE a.component = c.component AND b.component = c.component AND "from" <> "to") AS edges,
+      (SELECT count(*) FROM succ JOIN comp a ON a.id = "from" JOIN comp b ON b.id = "to" WHERE a.component = c.component AND b.component = c.component) AS weight
+      FROM comp c GROUP BY 1 HAVING count(*) >= 2""",
+    "layers_part": "WITH RECURSIVE" + SUCCESSOR_SQL + """, cond AS (SELECT DISTINCT a.component AS f, b.component AS t FROM succ JOIN comp a ON a.id = "from" JOIN comp b ON b.id = "to" WHERE a.component <> b.component),
+      h(id, n) AS (SELECT DISTINCT component, 0 FROM comp UNION SELECT f, n + 1 FROM h JOIN cond ON t = h.id) SELECT id, max(n)::INT AS layer FROM h GROUP BY 1""",
+    "reaches_part": "WITH RECURSIVE" + SUCCESSOR_SQL + " SELECT DISTINCT a, b FROM (SELECT min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY l_orderkey) JOIN way USING (a, b)",
     "running_size": _H + """, s AS (SELECT path, time, commit, sum(added - 9 * deleted) OVER (PARTITION BY path ORDER BY time, commit) AS s FROM changes JOIN commits USING (commit))
       SELECT path, time, commit, (s - least(min(s) OVER (PARTITION BY path ORDER BY time, commit), 0))::BIGINT AS size FROM s""",
     "path_join": r"""WITH h AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), m AS (SELECT DISTINCT regexp_replace(path, '^[^/]*/', '') AS path FROM h),

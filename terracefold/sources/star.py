@@ -7,7 +7,7 @@ supplier -> part. The projections are plain selects, so filters and columns reac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -96,6 +96,37 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commit, path, added, deleted): line items merged by order and part."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"))
+        .agg(F.sum("l_quantity").cast("long").alias("added"), F.sum("l_linenumber").cast("long").alias("deleted"))
+    )
+
+
+def file_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (file, to, provenance) and entity files (id, file), parts being files: an order lies in the file of its first line,
+    and the last line of a customer's order before it refers to it."""
+    line = F.struct("l_linenumber", "l_partkey", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(line).alias("a"), F.max(line).alias("z"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate").join(lines, "id")
+    before = F.lag("z.l_partkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "id"))
+    flag = F.col("a.l_returnflag")
+    provenance = F.when(flag == "N", "declared").when(flag == "A", "derived").otherwise("dynamic-candidate")
+    edges = orders.select(before.alias("file"), F.col("id").alias("to"), provenance.alias("provenance")).filter("file IS NOT NULL")
+    return edges, orders.select("id", F.col("a.l_partkey").alias("file"))
+
+
+def part_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from, to, count): each part and the one that comes next where it last stood before another in an order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = li.withColumn("to", after).filter("to IS NOT NULL")
+    last = pairs.groupBy(F.col("l_partkey").alias("from")).agg(F.max(F.struct("l_orderkey", "l_linenumber", "to")).alias("m"))
+    return last.select("from", F.col("m.to").alias("to"), F.lit(1).cast("long").alias("count"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(revision, key, kind, loc): a day's state of each user."""
     return (
