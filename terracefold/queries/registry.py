@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evolution, graph, records, store, streams
+from . import evolution, graph, navigation, records, store, streams
 
 FLAGSHIP = "coupling_type"
-QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES, **store.QUERIES, **records.QUERIES}
-ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES, **store.ORACLES, **records.ORACLES}
+QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES, **store.QUERIES, **records.QUERIES, **navigation.QUERIES}
+ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES, **store.ORACLES, **records.ORACLES, **navigation.ORACLES}
