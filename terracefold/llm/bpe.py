@@ -16,11 +16,9 @@ Repeated rows give repeated results; an empty table gives none. Extra columns ar
 from __future__ import annotations
 
 import base64
-import ctypes
 import hashlib
 import heapq
 import re
-import threading
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +31,10 @@ from .common import table
 LONG = 128
 #: Bytes squared of the words in one recursive query: it makes a row for each byte and round.
 QUERY_SQUARES = 1_500_000
-BLOCK_CHARS = 2_000_000
-#: Entries of a generation from which the next one begins, for each cache of one worker.
-WORDS, PIECES = 250_000, 250_000
-IDLE_SECONDS = 4.0
+BLOCK_CHARS = 1_000_000
+#: Bytes of a generation from which the next one begins, for each of a worker's three caches, and of an entry beside its texts:
+#: a worker holds at most 6 * CACHE_BYTES, and what one block adds.
+CACHE_BYTES, ENTRY_BYTES = 20_000_000, 200
 #: Texts in which white space stands beside a space or at an end are split by the pattern as a whole.
 _UNCUT = re.compile(r"\A\s|\s\Z|\s | \s")
 
@@ -66,11 +64,15 @@ class Recent:
     """A cache of two generations: once the young one is full it becomes the old one, and what the old one held goes."""
 
     def __init__(self, bound: int):
-        self.bound, self.young, self.old = bound, {}, {}
+        self.bound, self.size, self.young, self.old = bound, 0, {}, {}
 
     def turn(self) -> None:
-        if len(self.young) > self.bound:
-            self.old, self.young = self.young, {}
+        if self.size > self.bound:
+            self.size, self.old, self.young = 0, self.young, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.size += len(key) + len(value) + ENTRY_BYTES
 
     def missing(self, keys) -> list[str]:
         """Those of the keys that neither generation holds; the others are in the young one afterwards."""
@@ -78,16 +80,12 @@ class Recent:
         for k in keys:
             if k not in young:
                 if k in old:
-                    young[k] = old[k]
+                    self.put(k, old[k])
                 else:
                     out.append(k)
         return out
 
 
-#: Gives freed memory back to the system, where the C library can.
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
 class Coder:
     """Ranks of one vocabulary file, in memory and as DuckDB tables."""
 
@@ -115,9 +113,7 @@ class Coder:
             "vocabulary",
             {"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())},
         )
-        self.timer: threading.Timer | None = None
-        self.lock, self.active = threading.Lock(), False
-        self.clear()
+        self.words, self.first, self.rest = (Recent(CACHE_BYTES) for _ in range(3))
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -125,33 +121,6 @@ class Coder:
             cls._open[path] = cls(path, pattern)
         return cls._open[path]
 
-    def clear(self) -> None:
-        self.words, self.first, self.rest = Recent(WORDS), Recent(PIECES), Recent(PIECES)
-
-    def busy(self) -> None:
-        """A task begins: the caches stay, and what earlier stages left in this worker goes."""
-        pa.default_memory_pool().release_unused()
-        if _trim:
-            _trim(0)
-        with self.lock:
-            self.active = True
-        if self.timer:
-            self.timer.cancel()
-            self.timer = None
-
-    def idle(self) -> None:
-        """A task ended: without another one soon, the worker gives up its caches' memory."""
-        self.busy()
-        self.active = False
-        self.timer = threading.Timer(IDLE_SECONDS, self.forget)
-        self.timer.daemon = True
-        self.timer.start()
-
-    def forget(self) -> None:
-        with self.lock:
-            if not self.active:
-                self.clear()
-
     def load(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
@@ -189,12 +158,12 @@ class Coder:
 
     def learn(self, new: list[str]) -> None:
         """Encode words that self.words lacks."""
-        words = self.words.young
+        put = self.words.put
         raw = [w.encode() for w in new]
         short = [k for k, w in enumerate(raw) if len(w) <= LONG]
         for k, w in enumerate(raw):
             if len(w) > LONG:
-                words[new[k]] = self.merged(w)
+                put(new[k], self.merged(w))
         part = np.cumsum([len(raw[k]) ** 2 for k in short], dtype=np.int64) // QUERY_SQUARES
         borders = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(short)] if short else []
         for at, to in zip(borders, borders[1:]):
@@ -210,7 +179,7 @@ class Coder:
             ends = np.cumsum(np.bincount(np.asarray(got["word"]), minlength=len(some))) * 4
             begin = 0
             for k, end in zip(some, ends.tolist()):
-                words[new[k]] = flat[begin:end]
+                put(new[k], flat[begin:end])
                 begin = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -223,14 +192,14 @@ class Coder:
         begin, inner = {p[0] for p in split if p}, set()
         for p in split:
             inner.update(p[1:])
-        todo = [(first, p, self.pattern.findall(p)) for p in self.first.missing(begin)]
-        todo += [(rest, p, self.pattern.findall(" " + p)) for p in self.rest.missing(inner)]
+        todo = [(self.first, p, self.pattern.findall(p)) for p in self.first.missing(begin)]
+        todo += [(self.rest, p, self.pattern.findall(" " + p)) for p in self.rest.missing(inner)]
         words = {w for _, _, ws in todo for w in ws}
         words.update(*alone.values())
         self.learn(self.words.missing(words))
         known = self.words.young.__getitem__
         for cache, p, ws in todo:
-            cache[p] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
+            cache.put(p, known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)))
         out = []
         for k, p in enumerate(split):
             if k in alone:
@@ -273,23 +242,19 @@ def tokenize(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
     def run(batches):
         coder = Coder.of(path, pattern)
-        coder.busy()
-        try:
-            for batch in batches:
-                for at, texts in _blocks(batch.column(1)):
-                    packed = coder.encode(texts)
-                    back = coder.decode(packed)
-                    columns = [
-                        batch.column(0).slice(at, len(texts)),
-                        pa.array([len(p) // 4 for p in packed], pa.int64()),
-                        pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
-                    ]
-                    if ids:
-                        columns.append(pa.array(packed, pa.binary()))
-                    yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
-        finally:
-            coder.idle()
+        for batch in batches:
+            for at, texts in _blocks(batch.column(1)):
+                packed = coder.encode(texts)
+                back = coder.decode(packed)
+                columns = [
+                    batch.column(0).slice(at, len(texts)),
+                    pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
+                ]
+                if ids:
+                    columns.append(pa.array(packed, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else "")
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -332,8 +332,7 @@ def test_bpe_small_caches_and_position_order(monkeypatch):
     """Caches that turn over in every block, and words of many merges side by side, give the same tokens as a heap."""
     from terracefold.llm import bpe
 
-    monkeypatch.setattr(bpe, "WORDS", 3)
-    monkeypatch.setattr(bpe, "PIECES", 2)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 700)
     coder = bpe.Coder(*bpe.public_vocabulary())
     blocks = [["aaaa aaaa aaaaa", "the cat, the cats", ""], ["internationalisation the aaaa", "Straße über"], ["the cat, the cats", "ababab  bababa "]]
     for texts in [*blocks, *blocks]:
