@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evolution, graph, measures, navigation, records, snapshots, store, streams
+from . import evolution, graph, measures, navigation, records, rules, snapshots, store, streams
 
 FLAGSHIP = "coupling_type"
-QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES, **store.QUERIES, **records.QUERIES, **navigation.QUERIES, **measures.QUERIES, **snapshots.QUERIES}
-ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES, **store.ORACLES, **records.ORACLES, **navigation.ORACLES, **measures.ORACLES, **snapshots.ORACLES}
+QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES, **store.QUERIES, **records.QUERIES, **navigation.QUERIES, **measures.QUERIES, **snapshots.QUERIES, **rules.QUERIES}
+ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES, **store.ORACLES, **records.ORACLES, **navigation.ORACLES, **measures.ORACLES, **snapshots.ORACLES, **rules.ORACLES}
