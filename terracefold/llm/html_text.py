@@ -60,6 +60,10 @@ def _features(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+#: A slash before the end of a tag that belongs to an unquoted value.
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>][^\s>]*>\Z")
+
+
 class _Open:
     """An open element: what is around its text."""
 
@@ -73,21 +77,22 @@ def scan(page: str, weights: dict[str, float], labels: bool = False):
     """(text, block number, open element) for each run of text, (None, 0, open element) for each start tag, in page order."""
     out: list[tuple] = []
     stack = [_Open("", frozenset(), 0.0, "body", False, False)]
-    count: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # where in the stack elements of a tag are open
     block = at = 0
     size = len(page)
 
+    def innermost(tags) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
     def close(k: int) -> None:
         for x in stack[k:]:
-            count[x.tag] -= 1
+            places[x.tag].pop()
         del stack[k:]
 
     def close_one_of(tags, within) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return close(k)
-            if stack[k].tag in within:
-                return None
+        k = innermost(tags)
+        if k and k >= innermost(within):
+            close(k)
 
     begin = 0
     while at < size:
@@ -107,18 +112,18 @@ def scan(page: str, weights: dict[str, float], labels: bool = False):
         if tag in BLOCK:
             block += 1
         if m[1]:
-            if count.get(tag):
-                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = begin = size if end is None else end.end()
             continue
-        if tag in _ENDS_P and count.get("p"):
+        if tag in _ENDS_P and places.get("p"):
             close_one_of({"p"}, BLOCK)
         if tag in _ENDS:
             close_one_of(*_ENDS[tag])
-        if tag in VOID or m[0].endswith("/>") and tag not in BLOCK:
+        if tag in VOID or m[0].endswith("/>") and tag not in BLOCK and not _UNQUOTED.search(m[0]):
             out.append((None, 0, stack[-1]))
             continue
         top = stack[-1]
@@ -130,7 +135,7 @@ def scan(page: str, weights: dict[str, float], labels: bool = False):
             for kind, *_ in _NAMES.findall(m[3]):
                 label = {"keep": True, "drop": False}.get(kind.lower(), label)
         stack.append(_Open(tag, top.features.union(new) if new else top.features, total, inner, top.article or tag in ("article", "main"), label))
-        count[tag] = count.get(tag, 0) + 1
+        places.setdefault(tag, []).append(len(stack) - 1)
         out.append((None, 0, stack[-1]))
     if begin < size:
         out.append((page[begin:], block, stack[-1]))
@@ -194,19 +199,20 @@ def main_text(page: str | None) -> str:
     by, tag_score = weights()
     rows = scan(page or "", by)
     article = any(t is not None and top.article and top.sum > 0 for t, _, top in rows)
-    worth, scores, out = [], [], False
+    # All that stands between two pieces of content costs one tag, however much markup or other text it is.
+    worth, scores, paid = [], [], False
     for text, _, top in rows:
         each = by[""] + top.sum
         if text is not None:
             each += sum(by.get(f, 0.0) for f in _own(text, top, article))
         words = text is not None and len(text.split())
         worth.append(each if text is not None else 0.0)
-        if each > 0:
-            scores.append(tag_score if text is None else each * words)
-            out = out and not words
+        if words and each > 0:
+            scores.append(each * words)
+            paid = False
         else:
-            scores.append(0.0 if out or text is not None and not words else tag_score)
-            out = out or text is None or bool(words)
+            scores.append(0.0 if paid or text is not None and not words else tag_score)
+            paid = paid or text is None or bool(words)
     start, stop = best_region(scores)
     blocks: list[list[str]] = []
     last = None

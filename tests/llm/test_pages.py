@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -94,3 +95,16 @@ def test_articles_of_the_table():
         p = Article()
         p.feed(page)
         assert "".join(html_text.main_text(page).split()) == "".join("".join(p.text).split())
+
+
+@pytest.mark.parametrize("between", ["<img>" * 60, "<br>" * 60, "<span></span>" * 3000, "<table>" + "<tr><td></td></tr>" * 400 + "</table>", "<div class=x><!-- --></div>" * 200])
+def test_markup_without_text_parts_nothing(between):
+    page = f"<article><p>one two three four</p>{between}<p>five six seven eight nine</p></article>"
+    assert html_text.main_text(page) == "one two three four\nfive six seven eight nine"
+
+
+@pytest.mark.parametrize("page", ["<span>" * 20_000 + "<option></option>" * 20_000, "<i>" * 20_000 + "<li>x</li>" * 5_000, "<div>" * 20_000 + "<p>x</p>" * 5_000, "<p>" * 20_000 + "</i>" * 20_000, "<td><tr>" * 20_000])
+def test_deep_stacks_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
