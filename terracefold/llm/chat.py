@@ -45,11 +45,15 @@ def unescape(text: str) -> str:
 def fold(events):
     """Final [role, text] messages of one conversation's (kind, msg_id, role, text) events."""
     order: list[str] = []
-    found: dict[str, list] = {}
+    found: dict[str, list] = {}  # [role, parts, place in the order]
+
+    def begin(msg: str, role, parts: list[str]) -> None:
+        found[msg] = [role or "", parts, len(order)]
+        order.append(msg)
 
     def cut(msg: str, itself: bool) -> None:
         if msg in found:
-            at = order.index(msg) + (not itself)
+            at = found[msg][2] + (not itself)
             for k in order[at:]:
                 del found[k]
             del order[at:]
@@ -59,12 +63,10 @@ def fold(events):
         msg = f"#{n}" if msg is None else msg
         if kind in (None, "", "message"):
             cut(msg, True)
-            order.append(msg)
-            found[msg] = [role or "", [text]]
+            begin(msg, role, [text])
         elif kind == "delta":
             if msg not in found:
-                order.append(msg)
-                found[msg] = [role or "", []]
+                begin(msg, role, [])
             found[msg][1].append(text)
         elif kind == "edit":
             cut(msg, False)

@@ -339,3 +339,14 @@ def test_bpe_small_caches_and_position_order(monkeypatch):
         got = coder.encode(texts)
         assert got == [b"".join(coder.merged(w.encode()) for w in coder.pattern.findall(t)) for t in texts]
         assert coder.decode(got) == [t.encode() for t in texts]
+
+
+def test_chat_folds_long_conversations_in_linear_time():
+    import time
+
+    from terracefold.llm import chat
+
+    events = [e for k in range(100_000) for e in (("message", str(k), "user", "draft"), ("edit", str(k), "user", "said"), ("delta", f"a{k}", "assistant", "x"), ("regenerate", f"a{k}", None, None))]
+    began = time.process_time()
+    assert chat.fold(events) == [("user", "said")] * 100_000
+    assert time.process_time() - began < 10
