@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import csv_field, dot_text, u16
+from ..plans.fixpoint import settle
+from ..plans.order import positions
 
 
 def csv_lines(df: DataFrame, columns: list[str], order: list[str], delimiter: str = ",") -> DataFrame:
-    """(n, line) with the header as line 0, in canonical order."""
-    w = Window.orderBy(*[u16(F.col(f"`{c}`").cast("string")) for c in order])
-    body = df.select(F.row_number().over(w).alias("n"), F.concat_ws(delimiter, *[csv_field(F.col(f"`{c}`"), delimiter) for c in columns]).alias("line"))
-    head = df.sparkSession.createDataFrame([(0, delimiter.join(columns))], "n int, line string")
+    """(n, line) with the header as line 0, in canonical order; numbers come from sorted ranges, not from one task."""
+    keys = [u16(F.col(f"`{c}`").cast("string")).alias(f"k{i}") for i, c in enumerate(order)]
+    lines = df.select(*keys, F.concat_ws(delimiter, *[csv_field(F.col(f"`{c}`"), delimiter) for c in columns]).alias("line"))
+    body = positions(lines, [f"k{i}" for i in range(len(order))], "n").select("n", "line")
+    head = df.sparkSession.createDataFrame([(0, delimiter.join(columns))], "n long, line string")
     return head.union(body)
 
 
@@ -26,8 +29,8 @@ def coupling_csv(table: DataFrame) -> DataFrame:
 
 def cycles_csv(report: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows scc:n of each member, and selfLoop rows."""
-    n = F.row_number().over(Window.orderBy(u16(F.col("members")))) - 1
-    members = report.select(F.concat(F.lit("scc:"), n.cast("string")).alias("group"), F.explode(F.split("members", ";")).alias("id"))
+    numbered = positions(report.select("members", u16(F.col("members")).alias("k")), ["k"], "n")
+    members = numbered.select(F.concat(F.lit("scc:"), (F.col("n") - 1).cast("string")).alias("group"), F.explode(F.split("members", ";")).alias("id"))
     loops = edges.filter(F.col("from") == F.col("to")).select(F.lit("selfLoop").alias("group"), F.col("from").cast("string").alias("id"))
     return csv_lines(members.union(loops), ["group", "id"], ["group", "id"])
 
@@ -54,7 +57,8 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, name: str = "graph") -> DataFr
 
 def plantuml_lines(nodes: DataFrame, edges: DataFrame, element: str = "class") -> DataFrame:
     """(part, line) of a PlantUML diagram; aliases number the nodes in canonical order."""
-    alias = nodes.select("id", F.concat(F.lit("n"), F.row_number().over(Window.orderBy(u16(F.col("id")))).cast("string")).alias("alias"))
+    numbered = positions(nodes.select("id", u16(F.col("id")).alias("k")), ["k"], "n")
+    alias = settle(numbered.select("id", F.concat(F.lit("n"), F.col("n").cast("string")).alias("alias")))
     label = F.replace(F.col("id"), F.lit('"'), F.lit("'"))
     ends = nodes.sparkSession.createDataFrame([(0, "@startuml"), (3, "@enduml")], "part int, line string")
     a = alias.select(F.lit(1).alias("part"), F.concat(F.lit(element + ' "'), label, F.lit('" as '), "alias").alias("line"))

@@ -314,6 +314,8 @@ ORACLES = {
     "conformance_findings": "WITH" + ENTITY_SQL + "," + EDGE_SQL + f""", k AS (SELECT * FROM entity WHERE {INTERNAL}),
       refs AS (SELECT parent AS id, 'parent' AS how FROM k WHERE parent IS NOT NULL UNION ALL SELECT src, 'from' FROM edge UNION ALL SELECT dst, 'to' FROM edge)
       SELECT 'closure' AS rule, 'error' AS severity, count(*) AS findings FROM (SELECT DISTINCT id, how FROM refs WHERE id NOT IN (SELECT id FROM k)) HAVING count(*) > 0""",
+    "conformance_composition": """SELECT 'unknown-kind' AS rule, 'error' AS severity, 'brand' AS subject, ':' || count(DISTINCT p_brand) AS detail FROM part
+      UNION ALL SELECT 'missing-required-trait', 'error', 'nation', 'TChildOf:' || count(*) FROM nation UNION ALL SELECT 'trait-not-allowed', 'error', 'order', 'TChildOf:' || count(*) FROM orders""",
     "city_buildings": _BUILT + " SELECT * FROM built",
     "city_districts": _BUILT + """, dom AS (SELECT min(degree)::DOUBLE AS lo, max(degree)::DOUBLE AS hi FROM built), sz AS (
       SELECT district, floor((1 + CASE WHEN hi <= lo THEN 4.5 ELSE sqrt(degree - lo) / sqrt(hi - lo) * 9.0 END) * 1000 + 0.5) / 1000 AS size FROM built, dom)

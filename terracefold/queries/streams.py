@@ -91,4 +91,14 @@ ORACLES = {
       SELECT o.parent AS id, count(DISTINCT o.id) AS operations, count(*) FILTER (edge = 'invocation') AS invocations, count(*) FILTER (is_read) AS reads, count(*) FILTER (edge = 'access' AND NOT is_read) AS writes,
         count(*) FILTER (coalesce(t.is_stub, FALSE)) AS external
       FROM entity o JOIN edge e ON e.src = o.id JOIN entity t ON t.id = e.dst WHERE o.kind = 'order' GROUP BY 1""",
+    "export_coupling_csv": graph._sql("module", graph.COUPLING_SQL + """ SELECT 'id,fan_in,fan_out,instability,in_edges,out_edges' AS line
+      UNION ALL SELECT concat_ws(',', id, fan_in, fan_out, instability::DOUBLE, in_edges, out_edges) FROM coupled"""),
+    "export_folded_dot": graph._sql("module", """ SELECT 0 AS part, 'digraph "graph" {' AS line UNION ALL SELECT 3, '}' UNION ALL SELECT DISTINCT 1, '  "' || container || '";' FROM inside
+      UNION ALL SELECT 2, '  "' || "from" || '" -> "' || "to" || '" [label="' || count || '", penwidth=' || CASE WHEN count >= 17 THEN 4 WHEN count >= 5 THEN 3 WHEN count >= 2 THEN 2 ELSE 1 END || '];' FROM folded"""),
+    "export_folded_plantuml": graph._sql("module", """, a AS (SELECT id, 'n' || row_number() OVER (ORDER BY id) AS alias FROM (SELECT DISTINCT container AS id FROM inside))
+      SELECT 0 AS part, '@startuml' AS line UNION ALL SELECT 3, '@enduml' UNION ALL SELECT 1, 'package "' || id || '" as ' || alias FROM a
+      UNION ALL SELECT 2, f.alias || ' --> ' || t.alias || ' : ' || count FROM folded JOIN a f ON f.id = "from" JOIN a t ON t.id = "to" """),
+    "export_folded_json": graph._sql("module", """ SELECT 'node' AS kind, '{"entities":' || count(*) || ',"id":"' || container || '"}' AS line FROM inside GROUP BY container
+      UNION ALL SELECT 'edge', '{"count":' || count || ',"from":"' || "from" || '","kinds":"' || kinds || '","provenances":"' || provenances || '","to":"' || "to" || '"}' FROM folded"""),
+    "unit_status": graph._N + " SELECT CASE WHEN id % 2 = 0 THEN 'reuse' ELSE 'new' END AS status, count(*) AS units FROM (SELECT DISTINCT component AS id FROM scc) GROUP BY 1",
 }
