@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import dossiers, evolution, graph, measures, navigation, records, rules, scopes, snapshots, store, streams
+from . import dossiers, evolution, graph, measures, navigation, records, replay, rules, scopes, snapshots, store, streams
 
 FLAGSHIP = "coupling_type"
-QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES, **store.QUERIES, **records.QUERIES, **navigation.QUERIES, **measures.QUERIES, **snapshots.QUERIES, **rules.QUERIES, **dossiers.QUERIES, **scopes.QUERIES}
-ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES, **store.ORACLES, **records.ORACLES, **navigation.ORACLES, **measures.ORACLES, **snapshots.ORACLES, **rules.ORACLES, **dossiers.ORACLES, **scopes.ORACLES}
+QUERIES: dict = {**graph.QUERIES, **evolution.QUERIES, **streams.QUERIES, **store.QUERIES, **records.QUERIES, **navigation.QUERIES, **measures.QUERIES, **snapshots.QUERIES, **rules.QUERIES, **dossiers.QUERIES, **scopes.QUERIES, **replay.QUERIES}
+ORACLES: dict = {**graph.ORACLES, **evolution.ORACLES, **streams.ORACLES, **store.ORACLES, **records.ORACLES, **navigation.ORACLES, **measures.ORACLES, **snapshots.ORACLES, **rules.ORACLES, **dossiers.ORACLES, **scopes.ORACLES, **replay.ORACLES}
