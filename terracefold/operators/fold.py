@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import settle
+from ..schema import EDGE_KINDS, PROVENANCES
 from .views import View, identity_view, kept_entities
 
 LEVELS = {"type": "TType", "module": "TModule"}
+#: Words beyond a closed vocabulary that still become bits.
+ODD_WORDS = 48
 
 
 def first_declarations(entities: DataFrame) -> DataFrame:
@@ -55,6 +58,21 @@ class Folded:
     diagnostics: DataFrame
 
 
+def _listed(edges: DataFrame, column: str, known: list[str]):
+    """(aggregate, spelling) of the distinct words of a column, in order and joined by ';'.
+
+    Words of a vocabulary become bits of a number, which sum in a hash table of numbers; words beyond it are looked up
+    once. A column of many more words is no vocabulary and is gathered as sets.
+    """
+    odd = edges.filter(~F.col(column).isin(known)).select(column).distinct().limit(ODD_WORDS + 1).collect()
+    if len(odd) > ODD_WORDS:
+        return F.array_join(F.sort_array(F.collect_set(column)), ";").alias(column), lambda c: F.col(c)
+    words = sorted({*known, *(r[0] for r in odd)})
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(F.array(*map(F.lit, words)), F.col(column)) - 1).cast("int"))
+    mask = F.bit_or(F.when(F.col(column).isNotNull(), bit)).alias(column)
+    return mask, lambda c: F.concat_ws(";", *[F.when(F.col(c).bitwiseAND(1 << i) != 0, F.lit(w)) for i, w in enumerate(words)])
+
+
 def fold(entities: DataFrame, edges: DataFrame, level: str, view: View | None = None, kinds: list[str] | None = None, drop_self_loops: bool = False, placed: DataFrame | None = None) -> Folded:
     """Edges summed between the containers of their ends; lists come out joined by ';' in order.
 
@@ -78,15 +96,9 @@ def fold(entities: DataFrame, edges: DataFrame, level: str, view: View | None =
     ok = both.filter("ca IS NOT NULL AND cb IS NOT NULL")
     if drop_self_loops:
         ok = ok.filter("ca <> cb")
-    folded = (
-        ok.groupBy(F.col("ca").alias("from"), F.col("cb").alias("to"))
-        .agg(
-            F.sum("n").alias("count"),
-            F.array_join(F.sort_array(F.collect_set("edge")), ";").alias("kinds"),
-            F.array_join(F.sort_array(F.collect_set("provenance")), ";").alias("provenances"),
-        )
-        .withColumn("self_loop", F.col("from") == F.col("to"))
-    )
+    (edge_mask, edge_words), (from_mask, from_words) = _listed(edges, "edge", EDGE_KINDS), _listed(edges, "provenance", PROVENANCES)
+    sums = ok.groupBy(F.col("ca").alias("from"), F.col("cb").alias("to")).agg(F.sum("n").alias("count"), edge_mask, from_mask)
+    folded = sums.select("from", "to", "count", edge_words("edge").alias("kinds"), from_words("provenance").alias("provenances"), (F.col("from") == F.col("to")).alias("self_loop"))
     nodes = inside.groupBy(F.col("container").alias("id")).agg(F.count("*").alias("entities"))
     unplaced = ends.agg(F.count_if(F.col("container").isNull()).alias("unfoldable_entities"))
     counted = both.agg(
