@@ -34,7 +34,7 @@ QUERY_SQUARES = 1_500_000
 BLOCK_CHARS = 1_000_000
 #: Bytes of a generation from which the next one begins, for each of a worker's three caches, and of an entry beside its texts:
 #: a worker holds at most 6 * CACHE_BYTES, and what one block adds.
-CACHE_BYTES, ENTRY_BYTES = 20_000_000, 200
+CACHE_BYTES, ENTRY_BYTES = 40_000_000, 200
 #: Texts in which white space stands beside a space or at an end are split by the pattern as a whole.
 _UNCUT = re.compile(r"\A\s|\s\Z|\s | \s")
 
