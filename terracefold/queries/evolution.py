@@ -238,8 +238,8 @@ def json_values(spark: SparkSession, d: str) -> DataFrame:
 
 def scaled(spark: SparkSession, d: str) -> DataFrame:
     p = star.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("v"))
-    made = [scalar.round_half_up(scalar.scale_value(F.col("v"), F.lit(5.0), F.lit(40.0), (1.0, 10.0), k)).alias(k) for k in ("linear", "sqrt", "log1p")]
-    return p.filter("v >= 5").select("p_partkey", *made)
+    made = [scalar.round_half_up(scalar.scale_value(F.col("v"), F.lit(1.0), F.lit(40.0), (1.0, 10.0), k)).alias(k) for k in ("linear", "sqrt", "log1p")]
+    return p.select("p_partkey", *made)
 
 
 def name_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -340,7 +340,7 @@ ORACLES = {
     "budget_plan": """WITH u AS (SELECT lang, ceil(length(text) / 4)::BIGINT AS cost, sum(ceil(length(text) / 4)) OVER (PARTITION BY lang ORDER BY doc_id) AS spent FROM documents)
       SELECT lang, count(*) FILTER (spent <= 20000) AS taken, (sum(cost) FILTER (spent <= 20000))::BIGINT AS spent FROM u GROUP BY 1""",
     "json_values": "SELECT event_type, sum((props::JSON ->> '$.k')::INT)::BIGINT AS total, count((props::JSON ->> '$.k')::INT) AS measured FROM events GROUP BY 1",
-    "scaled_values": """SELECT p_partkey, floor((1 + greatest(least((p_size - 5) / 35.0::DOUBLE, 1), 0) * 9) * 1000 + 0.5) / 1000 AS linear, floor((1 + greatest(least(sqrt(p_size - 5) / sqrt(35), 1), 0) * 9) * 1000 + 0.5) / 1000 AS sqrt,
-      floor((1 + greatest(least(ln(1 + p_size - 5) / ln(36), 1), 0) * 9) * 1000 + 0.5) / 1000 AS log1p FROM part WHERE p_size >= 5""",
+    "scaled_values": """SELECT p_partkey, floor((1 + greatest(least((p_size - 1) / 39.0::DOUBLE, 1), 0) * 9) * 1000 + 0.5) / 1000 AS linear, floor((1 + greatest(least(sqrt(p_size - 1) / sqrt(39), 1), 0) * 9) * 1000 + 0.5) / 1000 AS sqrt,
+      floor((1 + greatest(least(ln(1 + p_size - 1) / ln(40), 1), 0) * 9) * 1000 + 0.5) / 1000 AS log1p FROM part""",
     "name_pieces": "SELECT c_custkey, array_to_string(list_transform(list_filter(regexp_extract_all(c_name, '[A-Za-z]+'), lambda x: TRUE), lambda x: lower(x)), ';') AS words FROM customer",
 }
