@@ -22,8 +22,14 @@ def _both(spark: SparkSession, d: str):
     return rows, *navigate.dependencies(star.entities(spark, d), star.edges(spark, d), rows)
 
 
+def rows(spark: SparkSession, d: str) -> DataFrame:
+    """The tree; -1 where a node has no parent or its category no coupling."""
+    return _rows(spark, d).fillna(-1, ["parent", "fan_in", "fan_out"])
+
+
 def deps(spark: SparkSession, d: str) -> DataFrame:
-    return _both(spark, d)[1]
+    """The dependency rows; -1 where no member carries an end."""
+    return _both(spark, d)[1].fillna(-1, ["member", "to_member"])
 
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -49,10 +55,11 @@ def packages(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat_ws(".", F.lower("p_type"), word[0], word[1], F.concat(F.lit("s"), F.col("p_size").cast("string")))
     # Names of a few kinds end earlier, so that modules also stand inside the tree.
     short = F.when(F.col("p_size") <= 2, F.concat_ws(".", F.lower("p_type"), word[0])).when(F.col("p_size") <= 6, F.concat_ws(".", F.lower("p_type"), word[0], word[1])).otherwise(name)
-    return navigate.packages(star.table(spark, d, "part").select(F.col("p_partkey").alias("id"), short.alias("name"), (F.col("p_size") > 30).alias("is_stub")))
+    tree = navigate.packages(star.table(spark, d, "part").select(F.col("p_partkey").alias("id"), short.alias("name"), (F.col("p_size") > 30).alias("is_stub")))
+    return tree.fillna(-1, ["id"])  # groups
 
 
-QUERIES = {"navigator_rows": _rows, "navigator_deps": deps, "navigator_diagnostics": diagnostics, "navigator_subtrees": subtrees, "navigator_display": display, "package_tree": packages}
+QUERIES = {"navigator_rows": rows, "navigator_deps": deps, "navigator_diagnostics": diagnostics, "navigator_subtrees": subtrees, "navigator_display": display, "package_tree": packages}
 
 _LEVEL = lambda level: "(WITH " + graph.CONTAINER_SQL.format(level=level) + "," + graph.FOLD_SQL.format(entity="TRUE", edge="TRUE") + graph.COUPLING_SQL + " SELECT * FROM coupled)"
 _ROWS = "WITH RECURSIVE " + graph.ENTITY_SQL + "," + graph.EDGE_SQL + f""",
@@ -72,8 +79,8 @@ owner AS (SELECT c.id, CASE WHEN c.rank = 3 THEN p.node ELSE n.node END AS o, CA
 role AS (SELECT *, CASE WHEN edge = 'access' AND is_read THEN 'reads' WHEN edge = 'access' THEN 'writes' WHEN edge = 'invocation' THEN 'calls' ELSE 'references' END AS role FROM edge),
 dep AS (SELECT role, a.o AS "from", b.o AS "to", a.m AS member, b.m AS to_member, provenance, count(*)::BIGINT AS n FROM role JOIN owner a ON a.id = src JOIN owner b ON b.id = dst WHERE a.o <> b.o GROUP BY ALL)"""
 ORACLES = {
-    "navigator_rows": _ROWS + " SELECT * FROM nav",
-    "navigator_deps": _DEPS + " SELECT * FROM dep",
+    "navigator_rows": _ROWS + " SELECT * REPLACE (coalesce(parent, -1) AS parent, coalesce(fan_in, -1) AS fan_in, coalesce(fan_out, -1) AS fan_out) FROM nav",
+    "navigator_deps": _DEPS + " SELECT * REPLACE (coalesce(member, -1) AS member, coalesce(to_member, -1) AS to_member) FROM dep",
     "navigator_diagnostics": _DEPS + " SELECT (SELECT count(*) FROM edge JOIN owner a ON a.id = src JOIN owner b ON b.id = dst WHERE a.o = b.o) AS self_deps, (SELECT count(*) FROM edge WHERE src NOT IN (SELECT id FROM owner WHERE o IS NOT NULL) OR dst NOT IN (SELECT id FROM owner WHERE o IS NOT NULL)) AS dropped_deps",
     "navigator_subtrees": _DEPS + f""", s AS (SELECT id, node AS lo, node + size - 1 AS hi FROM nav WHERE id IN ({', '.join(repr(n) for n in NAMED)}))
       SELECT id, coalesce(sum(n) FILTER ("from" BETWEEN lo AND hi AND "to" BETWEEN lo AND hi), 0)::BIGINT AS inside, coalesce(sum(n) FILTER ("from" BETWEEN lo AND hi AND "to" NOT BETWEEN lo AND hi), 0)::BIGINT AS leaving,
@@ -94,6 +101,6 @@ ab AS (SELECT r.*, (SELECT arg_max(a.path, length(a.path)) FROM ro a WHERE start
 la AS (SELECT *, CASE WHEN parent IS NULL THEN path ELSE substr(path, length(parent) + 2) END AS label FROM ab),
 ev AS (SELECT path, CASE WHEN modules = 1 THEN 'module' ELSE 'group' END AS kind, CASE WHEN modules = 1 THEN id END AS id, label, parent, all_stub, FALSE AS inner_ FROM la
   UNION ALL SELECT l.path, 'module', m.id, l.label, l.path, m.stub, TRUE FROM la l JOIN m ON m.name = l.path WHERE l.modules > 1)
-SELECT path, kind, id, label, parent, CASE WHEN inner_ THEN 0 ELSE (SELECT count(*) FROM ev c WHERE c.parent = ev.path) END AS children, all_stub FROM ev
+SELECT path, kind, coalesce(id, -1) AS id, label, parent, CASE WHEN inner_ THEN 0 ELSE (SELECT count(*) FROM ev c WHERE c.parent = ev.path) END AS children, all_stub FROM ev
 """,
 }
