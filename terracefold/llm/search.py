@@ -135,7 +135,8 @@ class Order:
         while (at >= 0).any():
             on = at[of] >= 0
             mean = np.bincount(of[on], self.weights[at[of[on]], terms[on]], n) / size
-            at = np.where(at < 0, at, np.where(mean > parts[at], kids[at, 0], kids[at, 1]))
+            inner = np.maximum(at, 0)  # leaves are met at several depths, and there may be more of them than nodes
+            at = np.where(at < 0, at, np.where(mean > parts[inner], kids[inner, 0], kids[inner, 1]))
         return -1 - at, hashes % np.array(self.pieces)[-1 - at]
 
 

@@ -81,3 +81,13 @@ def test_long_text_in_pieces(monkeypatch):
     whole = search.counts(text)
     monkeypatch.setattr(search, "PIECE", 16)
     assert search.counts(text) == whole == {b"abc": 500, b"de": 500, "fé".encode(): 500}
+
+
+def test_leaves_at_several_depths():
+    """A document that rests on the last leaf, numbered past the nodes, while another still walks."""
+    order = search.Order([], 0)
+    order.weights = search.np.zeros((2, search.BUCKETS), search.np.float32)
+    order.weights[0, 1], order.weights[1, 2] = -1, 1
+    order.kids, order.parts, order.pieces, order.root = [(1, -3), (-1, -2)], [-0.5, 0.5], [1, 1, 2], 0
+    leaves, pieces = order.place([search.np.array([1]), search.np.array([2]), search.np.array([3])], search.np.array([5, 6, 7]))
+    assert leaves.tolist() == [2, 0, 1] and pieces.tolist() == [1, 0, 0]
