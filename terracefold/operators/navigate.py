@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import has_trait
 from ..plans.fixpoint import settle
 from ..plans.forest import jumps, preorder
+from ..schema import PROVENANCES
 from .coupling import coupling
-from .fold import fold
+from .fold import coded
 
 CATEGORIES = ["module", "type", "operation", "attribute"]
 
@@ -59,12 +60,8 @@ def owners(entities: DataFrame, kinds: DataFrame) -> DataFrame:
     return met.select("id", "owner", member.alias("member"), "type", "module")
 
 
-def nodes(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, id, name, kind, category, is_stub, parent, depth, size, children, fan_in, fan_out, instability).
-
-    node and parent are preorder numbers from 0; a subtree is node to node + size - 1. Coupling is that of the category's own
-    level: types among types, modules among modules.
-    """
+def _tree(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes but for their coupling, with numbers, and owners() of all entities."""
     kinds = settle(categories(entities))
     near = settle(owners(entities, kinds))
     up = near.select(F.col("id").alias("u"), F.col("type").alias("u_type"), F.col("module").alias("u_module"))
@@ -77,13 +74,43 @@ def nodes(entities: DataFrame, edges: DataFrame) -> DataFrame:
     numbers = tree.select(F.col("id").alias("pid"), F.col("pre").alias("parent_node"))
     counts = tree.groupBy(F.col("parent").alias("cid")).agg(F.count("*").alias("children"))
     rows = tree.drop("parent").join(placed, "id").join(numbers, F.col("parent") == F.col("pid"), "left").join(counts, F.col("id") == F.col("cid"), "left")
+    return settle(rows.select(F.col("pre").alias("node"), "id", F.col("label").alias("name"), "kind", "category", "is_stub", F.col("parent_node").alias("parent"), "depth", "size", F.coalesce("children", F.lit(0)).cast("long").alias("children"))), near
+
+
+def _resolved(edges: DataFrame, near: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Edges with the numbers of what their ends lie in (owner o, member m, type, module; from: a, to: b), and the words of provenance.
+
+    An entity's type and module are those of its owner. Each edge is shuffled once by either end, words as numbers.
+    """
+    number = lambda c: rows.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"))
+    own = near.filter("id = owner").join(number("owner"), "owner").join(number("type"), "type", "left").join(number("module"), "module", "left")
+    own = own.select("owner", F.col("owner_node").alias("o"), F.col("type_node").alias("type"), F.col("module_node").alias("module"))
+    near = settle(near.select("id", "owner", "member").join(own, "owner", "left").join(number("member"), "member", "left").select("id", "o", F.col("member_node").alias("m"), "type", "module"))
+    end = lambda c, p: near.select(F.col("id").alias(c), *[F.col(x).alias(f"{p}_{x}") for x in ("o", "m", "type", "module")])
+    provenance, words = coded(edges, "provenance", PROVENANCES)
+    narrow = edges.select("from", "to", "edge", provenance, "is_read", "is_write")
+    return settle(narrow.join(end("from", "a"), "from", "left").drop("from").join(end("to", "b"), "to", "left").drop("to")), words
+
+
+def _coupled(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """rows with the coupling of each category's own level."""
     metrics = None
     for level in ("type", "module"):
-        f = fold(entities, edges, level)
-        m = coupling(f.nodes, f.edges).select(F.col("id").alias("mid"), F.lit(level).alias("at"), "fan_in", "fan_out", "instability")
+        pairs = resolved.select(F.col(f"a_{level}").alias("from"), F.col(f"b_{level}").alias("to")).filter("`from` <> `to`").groupBy("from", "to").agg(F.count("*").alias("count"))
+        m = coupling(rows.filter(F.col("category") == level).select(F.col("node").alias("id")), pairs)
+        m = m.select(F.col("id").alias("node"), "fan_in", "fan_out", "instability")
         metrics = m if metrics is None else metrics.unionByName(m)
-    rows = rows.join(metrics, (F.col("id") == F.col("mid")) & (F.col("category") == F.col("at")), "left")
-    return rows.select(F.col("pre").alias("node"), "id", F.col("label").alias("name"), "kind", "category", "is_stub", F.col("parent_node").alias("parent"), "depth", "size", F.coalesce("children", F.lit(0)).cast("long").alias("children"), "fan_in", "fan_out", "instability")
+    return rows.join(metrics, "node", "left").select(*rows.columns, "fan_in", "fan_out", "instability")
+
+
+def nodes(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, id, name, kind, category, is_stub, parent, depth, size, children, fan_in, fan_out, instability).
+
+    node and parent are preorder numbers from 0; a subtree is node to node + size - 1. Coupling is that of the category's own
+    level: types among types, modules among modules.
+    """
+    rows, near = _tree(entities)
+    return _coupled(rows, _resolved(edges, near, rows)[0])
 
 
 def dependencies(entities: DataFrame, edges: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,18 +119,26 @@ def dependencies(entities: DataFrame, edges: DataFrame, rows: DataFrame) -> tupl
     Ends are node numbers of owners, members those of the operations and attributes that carry the edge; equal rows are
     counted. Edges inside one owner are self dependencies; those with an end outside every owner are dropped.
     """
-    near = owners(entities, categories(entities))
-    number = rows.select(F.col("id").alias("k"), F.col("node"))
-    near = near.join(number.withColumnRenamed("node", "o"), F.col("owner") == F.col("k"), "left").drop("k").join(number.withColumnRenamed("node", "m"), F.col("member") == F.col("k"), "left").drop("k")
-    near = settle(near.select("id", "o", "m"))
-    packed = edges.groupBy("from", "to", "edge", "provenance", "is_read", "is_write").agg(F.count("*").alias("n"))
-    a, b = near.select(F.col("id").alias("from"), F.col("o").alias("a"), F.col("m").alias("member")), near.select(F.col("id").alias("to"), F.col("o").alias("b"), F.col("m").alias("to_member"))
-    both = settle(packed.join(a, "from", "left").join(b, "to", "left"))
-    lost, inside = F.col("a").isNull() | F.col("b").isNull(), F.col("a") == F.col("b")
-    diagnostics = both.agg(F.coalesce(F.sum(F.when(~lost & inside, F.col("n"))), F.lit(0)).alias("self_deps"), F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("dropped_deps"))
+    return _depending(*_resolved(edges, settle(owners(entities, categories(entities))), rows))
+
+
+def navigator(entities: DataFrame, edges: DataFrame, coupled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes(), and the two frames of dependencies(), with the edges' ends looked up once; coupled=False leaves out what nodes are
+    coupled by."""
+    rows, near = _tree(entities)
+    resolved, words = _resolved(edges, near, rows)
+    return _coupled(rows, resolved) if coupled else rows, *_depending(resolved, words)
+
+
+def _depending(both: DataFrame, words: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    lost, inside = F.col("a_o").isNull() | F.col("b_o").isNull(), F.col("a_o") == F.col("b_o")
+    diagnostics = both.agg(F.count_if(~lost & inside).alias("self_deps"), F.count_if(lost).alias("dropped_deps"))
     role = F.filter(F.array(F.when(F.col("is_read"), "reads"), F.when(F.col("is_write"), "writes"), F.when(F.col("edge") == "invocation", "calls"), F.when(~F.col("edge").isin("access", "invocation"), F.concat("edge", F.lit("s")))), lambda x: x.isNotNull())
-    kept = both.filter(~lost & ~inside).select(F.explode(role).alias("role"), F.col("a").alias("from"), F.col("b").alias("to"), "member", "to_member", "provenance", "n")
-    return kept.groupBy("role", "from", "to", "member", "to_member", "provenance").agg(F.sum("n").alias("n")), diagnostics
+    kept = both.filter(~lost & ~inside).select(F.explode(role).alias("role"), F.col("a_o").alias("from"), F.col("b_o").alias("to"), F.col("a_m").alias("member"), F.col("b_m").alias("to_member"), "provenance")
+    keys = ["role", "from", "to", "member", "to_member", "provenance"]
+    counted = kept.groupBy(*keys).agg(F.count("*").alias("n"))
+    spelled = F.col("provenance") if words is None else F.element_at(F.array(*map(F.lit, words)), F.col("provenance") + 1)
+    return counted.withColumn("provenance", spelled), diagnostics
 
 
 def subtree(deps: DataFrame, rows: DataFrame, ids: list[str]) -> DataFrame:

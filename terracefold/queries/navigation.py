@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import navigate
-from ..plans.fixpoint import settle
 from ..sources import star
 from . import graph
 
@@ -17,9 +16,8 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return navigate.nodes(star.entities(spark, d), star.edges(spark, d))
 
 
-def _both(spark: SparkSession, d: str):
-    rows = settle(_rows(spark, d))
-    return rows, *navigate.dependencies(star.entities(spark, d), star.edges(spark, d), rows)
+def _both(spark: SparkSession, d: str, coupled: bool = True):
+    return navigate.navigator(star.entities(spark, d), star.edges(spark, d), coupled)
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
@@ -29,15 +27,15 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 
 def deps(spark: SparkSession, d: str) -> DataFrame:
     """The dependency rows; -1 where no member carries an end."""
-    return _both(spark, d)[1].fillna(-1, ["member", "to_member"])
+    return _both(spark, d, False)[1].fillna(-1, ["member", "to_member"])
 
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return _both(spark, d)[2]
+    return _both(spark, d, False)[2]
 
 
 def subtrees(spark: SparkSession, d: str) -> DataFrame:
-    rows, found, _ = _both(spark, d)
+    rows, found, _ = _both(spark, d, False)
     return navigate.subtree(found, rows, NAMED)
 
 
