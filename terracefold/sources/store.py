@@ -148,26 +148,29 @@ def import_graph(entities: DataFrame, edges: DataFrame, root: str, buckets: int
     numbered = entities.repartitionByRange("id").sortWithinPartitions("id").withColumn("eid", F.monotonically_increasing_id())
     placed = settle(reduce(lambda a, b: a.join(b, "id", "left"), of, settle(numbered)))
     placed.select("eid", "id", "kind", "traits", "name", "parent", "is_stub", *LEVELS).sortWithinPartitions("module", "id").write.parquet(f"{at}/entity")
-    packed = settle(edges.groupBy("from", "to", "edge", "provenance").agg(F.count("*").alias("n")))
-    words = packed.select(F.explode(F.array(F.struct(F.lit("edge").alias("what"), F.col("edge").alias("word")), F.struct(F.lit("provenance").alias("what"), F.col("provenance").alias("word")))).alias("w")).select("w.*").distinct().collect()
+    words = edges.select("edge", "provenance").distinct().select(F.explode(F.array(F.struct(F.lit("edge").alias("what"), F.col("edge").alias("word")), F.struct(F.lit("provenance").alias("what"), F.col("provenance").alias("word")))).alias("w")).select("w.*").distinct().collect()
     numbers = {w: i for what in ("edge", "provenance") for i, w in enumerate(sorted((r.word, r.what) for r in words if r.what == what and r.word is not None))}
     if max(numbers.values(), default=0) > 62:
         raise ValueError("a vocabulary of over 63 words is not closed")
     spark.createDataFrame([(what, i, word) for (word, what), i in numbers.items()], "what string, number int, word string").coalesce(1).write.parquet(f"{at}/vocabulary")
     number = lambda what: reduce(lambda c, kv: c.when(F.col(what) == kv[0][0], kv[1]), [kv for kv in numbers.items() if kv[0][1] == what], F.when(F.lit(False), 0)).alias(what)
     end = lambda p: placed.select(F.col("id").alias(p), F.col("eid").alias(f"{p}_eid"), F.coalesce("is_stub", F.lit(False)).alias(f"{p}_stub"), *[F.col(c).alias(f"{p}_{c}") for level in LEVELS for c in (level, f"{level}_stub")])
-    both = settle(packed.join(end("from"), "from").join(end("to"), "to"))
-    tables = {"edge": both.select(F.col("from_eid").alias("source"), F.col("to_eid").alias("target"), "edge", "provenance", "n")}
+    # Edges are shuffled once by each end, words as numbers, and once into the buckets of their targets, where equal ones meet.
+    narrow = edges.select("from", "to", number("edge"), number("provenance"))
+    both = settle(narrow.join(end("from"), "from").drop("from").join(end("to"), "to").drop("to"))
+    word = lambda what: F.element_at(F.array(*map(F.lit, [w for w, kind in numbers if kind == what] or [None])).cast("array<string>"), F.col(what) + 1).alias(what)
+    met = both.select(F.col("from_eid").alias("source"), F.col("to_eid").alias("target"), "edge", "provenance").repartition(n, "target")
+    tables = {"edge": met.groupBy("source", "target", "edge", "provenance").agg(F.count("*").alias("n")).select("source", "target", word("edge"), word("provenance"), "n")}
     for level in LEVELS:
         ends, held = ~F.col("from_stub") & ~F.col("to_stub"), ~F.col(f"from_{level}_stub") & ~F.col(f"to_{level}_stub")
-        rows = both.select(F.col(f"from_{level}").alias("from"), F.col(f"to_{level}").alias("to"), number("edge"), number("provenance"), ends.alias("ends_internal"), F.coalesce(held, F.lit(False)).alias("containers_internal"), "n")
-        tables[f"fold_{level}"] = rows.groupBy("from", "to", "edge", "provenance", "ends_internal", "containers_internal").agg(F.sum("n").alias("n"))
+        rows = both.select(F.col(f"from_{level}").alias("from"), F.col(f"to_{level}").alias("to"), "edge", "provenance", ends.alias("ends_internal"), F.coalesce(held, F.lit(False)).alias("containers_internal"))
+        tables[f"fold_{level}"] = rows.groupBy("from", "to", "edge", "provenance", "ends_internal", "containers_internal").agg(F.count("*").alias("n"))
         kept = ~F.coalesce("is_stub", F.lit(False))
         nodes = placed.groupBy(F.col(level).alias("id")).agg(F.count("*").alias("entities"), F.count_if(kept).alias("kept"), F.count_if(kept & ~F.coalesce(f"{level}_stub", F.lit(True))).alias("internal"))
         nodes.write.parquet(f"{at}/node_{level}")
     for table, rows in tables.items():
         keys = _BUCKETED[table]
-        made = rows.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+        made = (rows if table == "edge" else rows.repartition(n, *keys)).write.bucketBy(n, *keys).sortBy(*keys)
         made.format("parquet").option("path", f"{at}/{table}").saveAsTable(f"graph_{name}_{table}")
     spark.createDataFrame([(t, n) for t in tables], "table string, n int").coalesce(1).write.parquet(f"{at}/buckets")
     spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").parquet(f"{root}/imports")
