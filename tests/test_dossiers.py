@@ -70,3 +70,21 @@ def test_modules(spark):
 def test_empty_graph(spark):
     e, x = spark.createDataFrame([], ENTITY), spark.createDataFrame([], EDGE)
     assert dossiers.dossiers(e, x).collect() == [] and dossiers.modules(e, x).collect() == []
+
+
+def test_facts_are_dealt_once_by_their_type(spark):
+    """Nested facts are grouped by operation and by type where one shuffle by type has brought them."""
+    e, x = spark.createDataFrame(CODE, ENTITY), spark.createDataFrame(EDGES, EDGE)
+    plan = dossiers.dossiers(e, x)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(of#") == 1
+    assert "Exchange hashpartitioning(operation#" not in plan
+
+
+def test_words_of_provenance_beyond_the_vocabulary(spark):
+    edges = [("invocation", "T.f", "Ext.h", p, None, None, "f", k, k) for k, p in enumerate(["guessed", None, "derived"])]
+    edges += [("access", "T.f", "gone", "declared", False, None, "f", 9, 9), ("invocation", "Ext.h", "T.f", "declared", None, None, "f", 9, 9)]
+    e, x = spark.createDataFrame(CODE, ENTITY), spark.createDataFrame(edges, EDGE)
+    got = {r.id: r.operations for r in dossiers.dossiers(e, x).collect()}
+    assert [o.id for o in got["T"]] == ["T.f"] and set(got) == {"T", "Local"}
+    assert [i.provenance for i in got["T"][0].invocations] == ["guessed", None, "derived"]
+    assert [(a.to, a.field, a.ownerType, a.isRead, a.isWrite, a.external) for a in got["T"][0].accesses] == [("gone", None, None, False, None, True)]
