@@ -23,6 +23,7 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -36,7 +37,7 @@ from .common import cut, table
 #: Words of a context at most; share of the training tokens, and number, from which a sequence is frequent; discount.
 DEPTH, RARE, MINIMUM, DISCOUNT = 3, 1e-6, 4, 0.75
 FOLDS, HELD = 7, 2
-#: Bytes of text split at a time; tokens, and distinct words, that a task counts before it hands on sums; longest frequent word.
+#: Bytes of text split at a time; tokens, and distinct words, that a task counts before it hands on sums; longest word held as it is.
 PIECE, TOKENS, WORDS, LONGEST = 1 << 22, 1 << 21, 400_000, 64
 #: Texts of which a task holds the words without id at a time.
 ROWS = 1000
@@ -78,16 +79,24 @@ def _word_counts(batches):
         yield made()
 
 
+def held(word: bytes) -> bytes:
+    """How the model holds a word: over LONGEST bytes as a blank, with which no word begins, and its SHA-256 digest."""
+    return word if len(word) <= LONGEST else b" " + hashlib.sha256(word).digest()
+
+
 class Grams:
     """Frequent sequences: words as ids from 0 on, and for each length k from 2 on the sorted keys (id of the first k - 1
-    words as a sequence) * words + id of the last, with counts. A sequence's id is its place."""
+    words as a sequence) * words + id of the last, with counts. A sequence's id is its place. Words are as held() gives them."""
 
     def __init__(self, words: dict[bytes, int], counts: np.ndarray):
         self.words, self.counts, self.keys, self.last = words, [counts], [None], None
+        self.digests = any(w[:1] == b" " for w in words)
 
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of lists of words (-1: not frequent), and the starts of the lists."""
         get = self.words.get
+        if self.digests:
+            texts = [[w if len(w) <= LONGEST else held(w) for w in words] for words in texts]
         flat = np.array([get(w, -1) for words in texts for w in words], np.int64)
         return flat, np.cumsum([0, *map(len, texts)])
 
@@ -147,7 +156,8 @@ def _sequence_counts(grams, k: int):
 def frequent_sequences(train: DataFrame, counts: DataFrame, least: int) -> Grams:
     """The sequences of up to DEPTH + 1 words that occur least times or more in train (text); counts: (word, c) of all words."""
     spark = train.sparkSession
-    words = counts.filter((F.col("c") >= least) & (F.length("word") <= LONGEST)).select("word", "c").toArrow().sort_by("word")
+    digest = F.concat(F.lit(" ").cast("binary"), F.unhex(F.sha2("word", 256)))
+    words = counts.filter(F.col("c") >= least).select(F.when(F.length("word") <= LONGEST, F.col("word")).otherwise(digest).alias("word"), "c").toArrow().sort_by("word")
     grams = Grams({w: k for k, w in enumerate(words["word"].to_pylist())}, words["c"].to_numpy())
     for k in range(2, DEPTH + 2):
         sent = spark.sparkContext.broadcast(grams)

@@ -174,3 +174,14 @@ def test_held_out_texts_gain(spark):
     rows = st.op11_lm_scores(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def test_long_words_are_followers_and_contexts(spark, monkeypatch):
+    """Words of any length have states; two with equal beginnings are two words."""
+    long = ["x" * 70, "x" * 70 + "y", "é" * 50]
+    rows = [(i, f"{t} a {long[0]} b {long[1]} {long[2]} a c {long[0]}") for i, t in corpus(8)]
+    with monkeypatch.context() as m:
+        m.setattr(st, "LONGEST", 1 << 20)
+        expected, states = brute(rows, st.MINIMUM)
+    assert {(w,) for w in long} <= states and ("a", long[0]) in states
+    same(st.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect(), expected)
