@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +96,11 @@ class Grams:
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of lists of words (-1: not frequent), and the starts of the lists."""
         get = self.words.get
-        if self.digests:
-            texts = [[w if len(w) <= LONGEST else held(w) for w in words] for words in texts]
         flat = np.array([get(w, -1) for words in texts for w in words], np.int64)
+        if self.digests:  # Long words are not found as they are.
+            each = list(chain.from_iterable(texts))
+            for k in np.flatnonzero(np.fromiter(map(len, each), np.int64, len(each)) > LONGEST).tolist():
+                flat[k] = get(held(each[k]), -1)
         return flat, np.cumsum([0, *map(len, texts)])
 
     def longer(self, before: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
