@@ -12,9 +12,9 @@ leaves one share for unknown words. So probabilities sum to one in each state. A
 the words before it that is a state.
 
 Counts run over all training tokens: words first, then sequences, longer by a word each round, of which both parts were
-frequent. Tasks count in bounded tables and hand on sums. The frequent sequences, bounded as above, go to the
-driver and as sorted arrays to the tasks, where texts are scored piece by piece. Words that are not frequent gain
-nothing from a state, so their part is only a product of the states' left shares; their counts are joined in one shuffle by word.
+frequent. Tasks split texts in Arrow, block by block, look each distinct word of a block up once, count in bounded
+tables and hand on sums. The frequent sequences, bounded as above, go to the driver and as sorted arrays to the
+tasks, where texts are scored block by block. Words that are not frequent gain nothing from a state, so their part is only a product of the states' left shares; their counts are joined in one shuffle by word.
 
 Defined results: a null text is empty and has one token, the end. A null doc_id trains. Rows that repeat a doc_id are
 scored, and train, each for itself. Without training rows N is 0 and every token scores log10(1) = 0. An empty table gives an
@@ -25,11 +25,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,25 +41,73 @@ from .common import cut, table
 #: Words of a context at most; share of the training tokens, and number, from which a sequence is frequent; discount.
 DEPTH, RARE, MINIMUM, DISCOUNT = 3, 1e-6, 4, 0.75
 FOLDS, HELD = 7, 2
-#: Bytes of text split at a time; tokens, and distinct words, that a task counts before it hands on sums; longest word held as it is.
+#: Bytes of texts split at a time; tokens, and distinct words, that a task counts before it hands on sums; longest word held as it is.
 PIECE, TOKENS, WORDS, LONGEST = 1 << 22, 1 << 21, 400_000, 64
-#: Texts of which a task holds the words without id at a time.
+#: Texts that are scored at a time.
 ROWS = 1000
-END = b""
+END = ""
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
-def pieces(text: str | None):
-    """Lists of the words of a text, END as the last word of the last list."""
-    data, at = (text or "").encode().lower(), 0
-    while len(data) - at > PIECE:
-        end = min((e for c in b" \n\t\r\v\f" if (e := data.find(bytes([c]), at + PIECE)) >= 0), default=len(data))
-        yield data[at:end].split()
+@dataclass
+class Block:
+    """Words of consecutive texts, or of a part of one: the place of the first text, each text's words as places in the distinct
+    ones, the starts of the texts and the end of the last, and how many words of the part before a part begins with."""
+
+    at: int
+    words: pa.Array
+    codes: np.ndarray
+    starts: np.ndarray
+    skip: int = 0
+
+    def listed(self) -> list[bytes]:
+        return self.words.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
+
+
+def _split(texts: pa.Array, at: int, skip: int = 0, last: bool = True) -> Block:
+    """The words of texts, END as the last of each, but of a part that is not the last of its text."""
+    # After the blank at its end a text splits off an empty word, which is END; an empty text is that word alone.
+    lists = pc.ascii_split_whitespace(pc.ascii_ltrim_whitespace(pc.binary_join_element_wise(pc.ascii_rtrim_whitespace(pc.ascii_lower(texts)), END, " ")))
+    words, starts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+    codes = words.indices.to_numpy()
+    if not last:
+        codes, starts = codes[:-1], np.array([0, len(codes) - 1])
+    return Block(at, words.dictionary.cast(pa.binary()), codes, starts, skip)
+
+
+def blocks(texts: pa.Array, back: int = 0):
+    """Blocks of texts (null: empty) of up to PIECE bytes; a longer text is cut at white space, and each further part begins
+    with up to back words before it."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        end = int(np.searchsorted(ends, done + PIECE, "right"))
+        if end > at:
+            yield _split(texts.slice(at, end - at), at)
+        else:
+            end = at + 1
+            yield from _parts(texts[at].as_py().encode(), at, back)
         at = end
-    yield [*data[at:].split(), END]
+
+
+def _parts(data: bytes, at: int, back: int):
+    tail: list[bytes] = []
+    start = 0
+    while start < len(data):
+        end = len(data)
+        if end - start > PIECE:
+            space = WHITE.search(data, start + PIECE)
+            end = space.start() if space else end
+        part = data[start:end]
+        yield _split(pa.array([b" ".join([*tail, part]).decode()]), at, len(tail), end == len(data))
+        tail = (tail + part.rsplit(None, back)[-back:])[-back:] if back else []
+        start = end
 
 
 # ---------------------------------------------------------------- counts
@@ -71,11 +122,10 @@ def _word_counts(batches):
         return out
 
     for batch in batches:
-        for k in range(batch.num_rows):
-            for words in pieces(batch.column(0)[k].as_py()):
-                found.update(words)
-                if len(found) > WORDS:
-                    yield made()
+        for block in blocks(batch.column(0)):
+            found.update(dict(zip(block.listed(), np.bincount(block.codes, minlength=len(block.words)).tolist())))
+            if len(found) > WORDS:
+                yield made()
     if found:
         yield made()
 
@@ -93,12 +143,16 @@ class Grams:
         self.words, self.counts, self.keys, self.last = words, [counts], [None], None
         self.digests = any(w[:1] == b" " for w in words)
 
+    def block_ids(self, block: Block) -> np.ndarray:
+        """Word ids of a block's words: the distinct ones are looked up."""
+        return self.ids([block.listed()])[0][block.codes]
+
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of lists of words (-1: not frequent), and the starts of the lists."""
         get = self.words.get
-        flat = np.array([get(w, -1) for words in texts for w in words], np.int64)
+        each = list(chain.from_iterable(texts))
+        flat = np.fromiter(map(get, each, repeat(-1)), np.int64, len(each))
         if self.digests:  # Long words are not found as they are.
-            each = list(chain.from_iterable(texts))
             for k in np.flatnonzero(np.fromiter(map(len, each), np.int64, len(each)) > LONGEST).tolist():
                 flat[k] = get(held(each[k]), -1)
         return flat, np.cumsum([0, *map(len, texts)])
@@ -135,21 +189,20 @@ def _sequence_counts(grams, k: int):
 
         def made():
             g = grams.value
-            ids, starts = g.ids(waiting)
+            ids = np.concatenate([w for w, _ in waiting])
+            before = np.cumsum([0, *(len(w) for w, _ in waiting)])
+            starts = np.concatenate([s + b for (_, s), b in zip(waiting, before)])
             key = g.longer(g.ends(ids, starts, k - 1)[-1], ids, starts)
             keys, n = np.unique(key[key >= 0], return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                tail: list[bytes] = []
-                for words in pieces(batch.column(0)[row].as_py()):
-                    waiting.append(tail + words)
-                    size += len(words)
-                    tail = (tail + words)[-(k - 1) :]  # too few words to be counted again
-                    if size > TOKENS:
-                        yield made()
-                        waiting, size = [], 0
+            for block in blocks(batch.column(0), k - 1):  # too few words before a part to be counted again
+                waiting.append((grams.value.block_ids(block), block.starts))
+                size += len(block.codes)
+                if size > TOKENS:
+                    yield made()
+                    waiting, size = [], 0
         if waiting:
             yield made()
 
@@ -241,51 +294,35 @@ _PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 
 def _scores(tree):
-    """A row per text with the frequent words' part, and a row for each other word of it."""
+    """A row per text, or part of a long one, with the frequent words' part, and a row for each other word of it."""
 
     def run(batches):
         t = tree.value
-        root = np.log10(t.root)
+        root = np.append(np.log10(t.root), 0.0)  # 0 for words without id, which are at -1
+        names = [c.split()[0] for c in _PARTS.split(", ")]
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            parts = [[row, doc_id, out, 0, 0, 0.0, 0.0, Counter(), text] for row, doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns))]
-            for group in _grouped(parts):
-                ids, starts = t.grams.ids([g[1] for g in group])
+            rows, doc_ids, outs, texts = batch.columns
+            for block in blocks(texts, DEPTH):
+                ids, starts, size = t.grams.block_ids(block), block.starts, len(block.starts) - 1
+                of = np.repeat(np.arange(size), np.diff(starts))
                 logs = t.log10(ids, starts)
-                for (part, words, skip), a, b in zip(group, starts, starts[1:]):
-                    own = ids[a + skip : b]
-                    freq = own[own >= 0]
-                    part[3] += len(own)
-                    part[4] += len(freq)
-                    part[5] += float(root[freq].sum())
-                    part[6] += float(logs[a + skip : b].sum())
-                    part[7].update([words[skip + k] for k in np.flatnonzero(own < 0).tolist()])
-            rows = []
-            for p in parts:
+                ids, of, logs, codes = ids[block.skip :], of[block.skip :], logs[block.skip :], block.codes[block.skip :]
+                row = rows.slice(block.at, size)
+                n = np.bincount(of, minlength=size)
+                known = np.bincount(of, ids >= 0, size).astype(np.int64)
                 # No word begins with a blank: the text's own row meets no count, and is dealt like any word.
-                rows.append((*p[:7], b" %d" % p[0], 0))
-                rows += [(p[0], None, None, 0, 0, 0.0, 0.0, w, n) for w, n in p[7].items()]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in _PARTS.split(", ")])
+                own = pa.array([b" %d" % r for r in row.to_numpy().tolist()], pa.binary())
+                sums = [np.bincount(of, x, size).astype(float) for x in (root[ids], logs)]  # whole numbers where a part has no words
+                yield pa.RecordBatch.from_arrays([row, doc_ids.slice(block.at, size), outs.slice(block.at, size), *map(pa.array, (n, known, *sums)), own, pa.array(np.zeros(size, np.int64))], names)
+                rare = ids < 0
+                pairs, n = np.unique(of[rare] * len(block.words) + codes[rare], return_counts=True)
+                if len(pairs):
+                    none, zeros = [pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.bool_())], [pa.array(np.zeros(len(pairs), kind)) for kind in (np.int64, np.int64, float, float)]
+                    yield pa.RecordBatch.from_arrays([row.take(pa.array(pairs // len(block.words))), *none, *zeros, block.words.take(pa.array(pairs % len(block.words))), pa.array(n)], names)
 
     return run
 
 
-def _grouped(parts):
-    """Groups of (part, words, words that only give context) of bounded size, over the pieces of all texts."""
-    group, size = [], 0
-    for part in parts:
-        tail: list[bytes] = []
-        for words in pieces(part[8]):
-            group.append((part, tail + words, len(tail)))
-            size += len(words)
-            tail = (tail + words)[-(DEPTH + 1) :]
-            if size > TOKENS // 4:
-                yield group
-                group, size = [], 0
-    if group:
-        yield group
-
-
 def scores(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
