@@ -238,9 +238,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _both_ways(pairs: DataFrame, *more: str) -> DataFrame:
-    return pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), *more).union(
-        pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), *more)
-    )
+    way = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), *more)
+    return pairs.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -257,20 +256,24 @@ def node_components(spark: SparkSession, docs: DataFrame, signed: DataFrame, nod
     best = _both_ways(strong, "est").groupBy("x").agg(F.max(F.struct("est", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     tried = cut(_ordered(best), "first-pairs")
     links = cut(confirm(tried, texts), "links")
-    turn, joined = 0, links
+    turn, wide, joined = 0, False, links
     while True:
-        wide = turn >= NARROW_ROUNDS
-        comp = cut(components(joined), "components")
-        before, near = near, cut(_crossing(near, comp), "candidates")
-        drop_cut(before)
+        if joined is not None:
+            comp = cut(components(joined), "components")
+            before, near = near, cut(_crossing(near, comp), "candidates")
+            drop_cut(before)
         todo = cut(_next_pairs(near, nodes, links, comp, wide).join(tried, ["a", "b"], "left_anti"), "more-pairs")
         more = cut(confirm(todo, texts), "more-links")
-        if wide and more.isEmpty():
+        if not more.isEmpty():
+            turn += 1
+            wide = wide or turn >= NARROW_ROUNDS
+            # What is joined already comes in as stars, so the next components take few rounds.
+            joined, links = _stars(comp).union(more), cut(links.union(more), "links")
+        elif wide:
             break
-        turn += 1
-        # What is joined already comes in as stars, so the next components take few rounds.
-        joined = _stars(comp).union(more)
-        tried, links = cut(tried.union(todo), "tried"), cut(links.union(more), "links")
+        else:
+            wide, joined = True, None  # the same components would give the same few pairs again
+        tried = cut(tried.union(todo), "tried")
     drop_cut(texts)
     release(spark)
     rest = cut(_likely(_prefix_pairs(signed, nodes, comp), nodes, POSSIBLE), "rest-pairs")
@@ -355,7 +358,7 @@ def _next_pairs(crossing: DataFrame, nodes: DataFrame, links: DataFrame, comp: D
     share = F.pmod(F.xxhash64("node"), F.lit(HUBS))
     hubs = comp.join(degree, "node").groupBy("component", share.alias("share")).agg(F.max(F.struct("degree", -F.col("node"))).alias("m"))
     hubs = hubs.filter(F.lit(wide) | (F.col("share") < FIRST_HUBS))
-    hubs = hubs.select(F.col("component").alias("y_comp"), (-F.col("m").getField("col2")).alias("hub"))
+    hubs = cut(hubs.select(F.col("component").alias("y_comp"), (-F.col("m").getField("col2")).alias("hub")), "hubs")
     side = lambda x, y, c: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(c).alias("y_comp"), "est")
     sides = crossing.select(F.explode(F.array(side("a", "b", "cb"), side("b", "a", "ca"))).alias("s")).select("s.*")
     if not wide:

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from terracefold.llm import graph, minhash
+from terracefold.llm.common import cut
 from terracefold.llm.shingles import shingle_sets
 
 
@@ -143,3 +144,35 @@ def test_words_of_a_regular_pattern_are_told_apart():
     assert a[0] != b[0]
     x, y = shingle_sets(pa.array(["One two\tthree four five six", "one  TWO three\nfour five six"]))
     assert len(x) == 2 and set(x) == set(y)
+
+
+def test_plans_of_the_rounds_stay_small(spark, monkeypatch):
+    """The driver keeps each plan, with its changes as it runs: no round holds the steps before it several times."""
+    sizes = []
+
+    def spy(df, name, *more):
+        sizes.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange "), name))
+        return cut(df, name, *more)
+
+    monkeypatch.setattr(graph, "cut", spy)
+    rng = random.Random(7)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)]
+    stars = spark.createDataFrame(links[:100], "a long, b long").union(spark.createDataFrame(links[100:], "a long, b long"))
+    got = {r.node: r.component for r in graph.components(stars).collect()}
+    want = {x: x for p in links if p[0] != p[1] for x in p}
+    for _ in range(300):
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert max(sizes)[0] <= 5
+
+
+def test_rounds_without_new_links_are_not_repeated(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(minhash, "components", lambda links: calls.append(1) or graph.components(links))
+    rows = [(i, " ".join(f"g{i // 2}w{k}" for k in range(40)) + " end" * (i % 2)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, docs).collect()}
+    assert got == {i: i - i % 2 for i in range(20)}
+    assert len(calls) == 1
