@@ -3,7 +3,7 @@ import hashlib
 import corpus_pipeline
 from test_lines import windows  # noqa: F401
 from test_near_duplicates import brute
-from test_rules import brute as counts
+from test_host_rules import brute as counts
 
 from terracefold.llm import bpe
 
