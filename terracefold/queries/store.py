@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coupling, views
-from ..sources import star
+from ..sources import star, store
 from ..sources.store import Store, fingerprint, open_store
 from . import graph
 
 TABLES = ["region", "nation", "part", "supplier", "customer", "orders", "lineitem"]
 
 
-def opened(spark: SparkSession, d: str) -> Store:
-    """The store of the star schema's graph in d, imported by the first query that needs it."""
+def opened(spark: SparkSession, d: str, tables: list[str] = store.TABLES) -> Store:
+    """The store of the star schema's graph in d, with these tables, imported by the first query that needs them."""
     key = fingerprint(spark, [f"{d}/{t}.parquet" for t in TABLES])
-    return open_store(spark, key, lambda: (star.entities(spark, d), star.edges(spark, d)))
+    return open_store(spark, key, lambda: (star.entities(spark, d), star.edges(spark, d)), tables)
+
+
+def _folds(spark: SparkSession, d: str, level: str) -> Store:
+    return opened(spark, d, [f"fold_{level}", f"node_{level}"])
 
 
 def store_import(spark: SparkSession, d: str) -> DataFrame:
@@ -28,27 +32,27 @@ def store_import(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fan_in(spark: SparkSession, d: str) -> DataFrame:
-    return opened(spark, d).fan_in(20)
+    return opened(spark, d, ["edge"]).fan_in(20)
 
 
 def folded(level: str, view=None, kinds=None, drop=False):
-    return lambda spark, d: opened(spark, d).fold(level, view() if view else None, kinds, drop).edges
+    return lambda spark, d: _folds(spark, d, level).fold(level, view() if view else None, kinds, drop).edges
 
 
 def coupled(level: str, view=None):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        f = opened(spark, d).fold(level, view() if view else None)
-        return coupling.coupling(f.nodes, f.edges)
+        f = _folds(spark, d, level).fold(level, view() if view else None)
+        return coupling.coupling(f.nodes, f.edges, dealt=True)
 
     return run
 
 
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return opened(spark, d).fold("type", views.internal_only()).diagnostics
+    return _folds(spark, d, "type").fold("type", views.internal_only()).diagnostics
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    return opened(spark, d).members("nation:3").select("id", "kind", "type")
+    return opened(spark, d, []).members("nation:3").select("id", "kind", "type")
 
 
 QUERIES = {
