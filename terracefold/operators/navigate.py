@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import has_trait
-from ..plans.fixpoint import settle
+from ..plans.fixpoint import kept_only, settle, settled_in_turn
 from ..plans.forest import jumps, preorder
 from ..schema import PROVENANCES
 from .coupling import coupling
@@ -77,27 +77,47 @@ def _tree(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settle(rows.select(F.col("pre").alias("node"), "id", F.col("label").alias("name"), "kind", "category", "is_stub", F.col("parent_node").alias("parent"), "depth", "size", F.coalesce("children", F.lit(0)).cast("long").alias("children"))), near
 
 
-def _resolved(edges: DataFrame, near: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[str] | None]:
-    """Edges with the numbers of what their ends lie in (owner o, member m, type, module; from: a, to: b), and the words of provenance.
+def _built(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_tree(), without the tables of its rounds, of which there are some twenty."""
+    return kept_only(entities.sparkSession, lambda: _tree(entities))
 
-    An entity's type and module are those of its owner. Each edge is shuffled once by either end, words as numbers.
-    """
+
+def _numbered(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """owners() with numbers of nodes: (id, owner o, member m, type, module). An entity's type and module are those of its owner."""
     number = lambda c: rows.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"))
     own = near.filter("id = owner").join(number("owner"), "owner").join(number("type"), "type", "left").join(number("module"), "module", "left")
     own = own.select("owner", F.col("owner_node").alias("o"), F.col("type_node").alias("type"), F.col("module_node").alias("module"))
-    near = settle(near.select("id", "owner", "member").join(own, "owner", "left").join(number("member"), "member", "left").select("id", "o", F.col("member_node").alias("m"), "type", "module"))
-    end = lambda c, p: near.select(F.col("id").alias(c), *[F.col(x).alias(f"{p}_{x}") for x in ("o", "m", "type", "module")])
+    return near.select("id", "owner", "member").join(own, "owner", "left").join(number("member"), "member", "left").select("id", "o", F.col("member_node").alias("m"), "type", "module")
+
+
+def _ends(edges: DataFrame, numbered: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """edges (from, to, ...) with these columns of both ends in place of their ids (from: a_, to: b_). Each end is a step of its own,
+    so that one shuffle of the edges lies on the disk at a time."""
+
+    def step(c: str, p: str):
+        return lambda d: d.join(numbered.select(F.col("id").alias(c), *[F.col(x).alias(f"{p}_{x}") for x in columns]), c, how).drop(c)
+
+    return settled_in_turn(edges, step("from", "a"), step("to", "b"))
+
+
+def _resolved(edges: DataFrame, near: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Edges with the numbers of what their ends lie in (owner o, member m, type, module; from: a, to: b), and the words of provenance.
+
+    Each edge is shuffled once by either end, words as numbers.
+    """
     provenance, words = coded(edges, "provenance", PROVENANCES)
     narrow = edges.select("from", "to", "edge", provenance, "is_read", "is_write")
-    return settle(narrow.join(end("from", "a"), "from", "left").drop("from").join(end("to", "b"), "to", "left").drop("to")), words
+    return _ends(narrow, settle(_numbered(near, rows)), ["o", "m", "type", "module"], "left"), words
 
 
 def _coupled(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """rows with the coupling of each category's own level."""
     metrics = None
     for level in ("type", "module"):
-        pairs = resolved.select(F.col(f"a_{level}").alias("from"), F.col(f"b_{level}").alias("to")).filter("`from` <> `to`").groupBy("from", "to").agg(F.count("*").alias("count"))
-        m = coupling(rows.filter(F.col("category") == level).select(F.col("node").alias("id")), pairs)
+        pairs = resolved.select(F.col(f"a_{level}").alias("from"), F.col(f"b_{level}").alias("to")).filter("`from` <> `to`")
+        # Pairs of types are many: dealt by from, only their sums by to are shuffled again. Pairs of modules are few, and summed first.
+        pairs = (pairs.repartition("from") if level == "type" else pairs).groupBy("from", "to").agg(F.count("*").alias("count"))
+        m = coupling(rows.filter(F.col("category") == level).select(F.col("node").alias("id")), pairs, dealt=level == "type")
         m = m.select(F.col("id").alias("node"), "fan_in", "fan_out", "instability")
         metrics = m if metrics is None else metrics.unionByName(m)
     return rows.join(metrics, "node", "left").select(*rows.columns, "fan_in", "fan_out", "instability")
@@ -109,8 +129,10 @@ def nodes(entities: DataFrame, edges: DataFrame) -> DataFrame:
     node and parent are preorder numbers from 0; a subtree is node to node + size - 1. Coupling is that of the category's own
     level: types among types, modules among modules.
     """
-    rows, near = _tree(entities)
-    return _coupled(rows, _resolved(edges, near, rows)[0])
+    rows, near = _built(entities)
+    levels = ["type", "module"]
+    placed = settle(_numbered(near, rows).select("id", *levels).filter("type IS NOT NULL OR module IS NOT NULL"))
+    return _coupled(rows, _ends(edges.select("from", "to"), placed, levels, "inner"))
 
 
 def dependencies(entities: DataFrame, edges: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,16 +147,20 @@ def dependencies(entities: DataFrame, edges: DataFrame, rows: DataFrame) -> tupl
 def navigator(entities: DataFrame, edges: DataFrame, coupled: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes(), and the two frames of dependencies(), with the edges' ends looked up once; coupled=False leaves out what nodes are
     coupled by."""
-    rows, near = _tree(entities)
+    rows, near = _built(entities)
     resolved, words = _resolved(edges, near, rows)
     return _coupled(rows, resolved) if coupled else rows, *_depending(resolved, words)
 
 
+def _roles() -> Column:
+    """The roles of an edge: a row of dependencies() each."""
+    return F.filter(F.array(F.when(F.col("is_read"), "reads"), F.when(F.col("is_write"), "writes"), F.when(F.col("edge") == "invocation", "calls"), F.when(~F.col("edge").isin("access", "invocation"), F.concat("edge", F.lit("s")))), lambda x: x.isNotNull())
+
+
 def _depending(both: DataFrame, words: list[str] | None) -> tuple[DataFrame, DataFrame]:
     lost, inside = F.col("a_o").isNull() | F.col("b_o").isNull(), F.col("a_o") == F.col("b_o")
     diagnostics = both.agg(F.count_if(~lost & inside).alias("self_deps"), F.count_if(lost).alias("dropped_deps"))
-    role = F.filter(F.array(F.when(F.col("is_read"), "reads"), F.when(F.col("is_write"), "writes"), F.when(F.col("edge") == "invocation", "calls"), F.when(~F.col("edge").isin("access", "invocation"), F.concat("edge", F.lit("s")))), lambda x: x.isNotNull())
-    kept = both.filter(~lost & ~inside).select(F.explode(role).alias("role"), F.col("a_o").alias("from"), F.col("b_o").alias("to"), F.col("a_m").alias("member"), F.col("b_m").alias("to_member"), "provenance")
+    kept = both.filter(~lost & ~inside).select(F.explode(_roles()).alias("role"), F.col("a_o").alias("from"), F.col("b_o").alias("to"), F.col("a_m").alias("member"), F.col("b_m").alias("to_member"), "provenance")
     keys = ["role", "from", "to", "member", "to_member", "provenance"]
     counted = kept.groupBy(*keys).agg(F.count("*").alias("n"))
     spelled = F.col("provenance") if words is None else F.element_at(F.array(*map(F.lit, words)), F.col("provenance") + 1)
@@ -142,11 +168,13 @@ def _depending(both: DataFrame, words: list[str] | None) -> tuple[DataFrame, Dat
 
 
 def subtree(deps: DataFrame, rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(id, inside, leaving, entering): dependencies that stay in, leave and enter the subtrees of the named nodes."""
+    """(id, inside, leaving, entering): dependencies that stay in, leave and enter the subtrees of the named nodes.
+
+    deps: (from, to, n), whose rows are summed where they meet the subtrees; they need not be distinct.
+    """
     spans = rows.filter(F.col("id").isin(ids)).select("id", F.col("node").alias("lo"), (F.col("node") + F.col("size") - 1).alias("hi"))
-    pairs = deps.groupBy("from", "to").agg(F.sum("n").alias("n"))
     a, b = F.col("from").between(F.col("lo"), F.col("hi")), F.col("to").between(F.col("lo"), F.col("hi"))
-    met = pairs.join(F.broadcast(spans), a | b, "inner")  # as many rows as ids were named
+    met = deps.select("from", "to", "n").join(F.broadcast(spans), a | b, "inner")  # as many rows as ids were named
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
     return met.groupBy("id").agg(total(a & b).alias("inside"), total(a & ~b).alias("leaving"), total(b & ~a).alias("entering"))
 
