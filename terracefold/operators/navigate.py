@@ -179,6 +179,16 @@ def subtree(deps: DataFrame, rows: DataFrame, ids: list[str]) -> DataFrame:
     return met.groupBy("id").agg(total(a & b).alias("inside"), total(a & ~b).alias("leaving"), total(b & ~a).alias("entering"))
 
 
+def subtrees(entities: DataFrame, edges: DataFrame, ids: list[str]) -> DataFrame:
+    """subtree() of the graph's dependencies: sums need neither members nor distinct rows, so edges carry only owners and counts."""
+    rows, near = _built(entities)
+    number = rows.select(F.col("id").alias("owner"), F.col("node").alias("o"))
+    placed = settle(near.select("id", "owner").join(number, "owner").select("id", "o"))
+    counted = edges.select("from", "to", F.size(_roles()).cast("long").alias("n")).filter("n > 0")
+    both = _ends(counted, placed, ["o"], "inner").filter("a_o <> b_o")
+    return subtree(both.select(F.col("a_o").alias("from"), F.col("b_o").alias("to"), "n"), rows, ids)
+
+
 def display(rows: DataFrame, deps: DataFrame, cap: int, min_fan_in: int = 0, externals: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a type graph shows: (nodes, edges, one row of total_nodes and truncated).
 

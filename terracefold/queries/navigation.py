@@ -35,8 +35,7 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subtrees(spark: SparkSession, d: str) -> DataFrame:
-    rows, found, _ = _both(spark, d, False)
-    return navigate.subtree(found, rows, NAMED)
+    return navigate.subtrees(star.entities(spark, d), star.edges(spark, d), NAMED)
 
 
 def display(spark: SparkSession, d: str) -> DataFrame:
